@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from dataclasses import dataclass
 from functools import reduce
+from math import prod
 from operator import add
 
 from pyspark import StorageLevel
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from colscope.columns import ref, require_new, require_present
 from colscope.constants import CLUSTER_SEED, CLUSTERS
-from colscope.operators.aggregates import known_arity
+from colscope.operators.aggregates import TUPLE_LIMIT, known_arity
 from colscope.operators.encode import numeric_bounds
 from colscope.operators.mixed import mixed_distance
 
@@ -175,14 +176,27 @@ def _move(base, model, centres, numbers, values, sizes) -> tuple[Centre, ...]:
     near = base.select("*", far.alias("far")).select(
         *numbers, *values, (F.array_position("far", F.array_min("far")) - 1).alias("cluster")
     )
-    # one pass: partial sums per cluster, and a row count per (cluster, category, value)
-    means = near.groupBy("cluster").agg(F.count("*").alias("n"), *[F.avg(n).alias(n) for n in numbers])
-    by_cluster = {r["cluster"]: r for r in means.collect()}
+    # One pass: every row counts towards its cluster, and towards (cluster, value) per category. Where
+    # value combinations are few, they are counted first and the rest works on those counts.
+    sums = [F.sum(n).alias(n) for n in numbers] + [F.count(n).alias(f"n_{n}") for n in numbers]
+    if prod(size + 1 for size in sizes) * len(centres) <= TUPLE_LIMIT:
+        near = near.groupBy("cluster", *values).agg(F.count("*").alias("n"), *sums)
+        sums = [F.sum(c).alias(c) for n in numbers for c in (n, f"n_{n}")]
+    else:
+        near = near.withColumn("n", F.lit(1))
+    sets = [["cluster"], *[["cluster", v] for v in values]]
+    tags = [F.grouping(v).alias(f"g_{v}") for v in values]
+    found = near.groupingSets([[F.col(c) for c in s] for s in sets], "cluster", *values).agg(
+        F.sum("n").alias("n"), *sums, *tags
+    )
+    by_cluster: dict = {}
     counts: dict = defaultdict(float)
-    if values:
-        flat = near.unpivot(["cluster"], values, "column", "v").where("v is not null")
-        for r in flat.groupBy("cluster", "column", "v").agg(F.count("*").alias("n")).collect():
-            counts[r["cluster"], r["column"], int(r["v"])] += r["n"]
+    for r in found.collect():
+        at = [v for v in values if r[f"g_{v}"] == 0]
+        if not at:
+            by_cluster[r["cluster"]] = {n: (r[n] / r[f"n_{n}"] if r[f"n_{n}"] else 0.0) for n in numbers}
+        elif r[at[0]] is not None:
+            counts[r["cluster"], at[0], int(r[at[0]])] += r["n"]
     out = []
     for i, old in enumerate(centres):
         row = by_cluster.get(i)
@@ -194,7 +208,7 @@ def _move(base, model, centres, numbers, values, sizes) -> tuple[Centre, ...]:
             per = [counts[i, v, x] for x in range(size)]
             total = sum(per)
             shares.append(tuple(c / total for c in per) if total else tuple(0.0 for _ in per))
-        out.append(Centre(tuple(float(row[n] or 0.0) for n in numbers), tuple(shares)))
+        out.append(Centre(tuple(row[n] for n in numbers), tuple(shares)))
     return tuple(out)
 
 

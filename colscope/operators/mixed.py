@@ -9,17 +9,19 @@ so only values that do occur together with both x and y need to be looked at.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.columns import require_present
 from colscope.constants import DISTANCE_BINS
 from colscope.operators.aggregates import pair_counts
 
-# Slices each value list is cut into when all pairs of a column are listed.
-PAIR_SLICES = 16
+# Values that may meet in one group of the pair join; larger groups are sliced.
+GROUP_SIZE = 4_096
 
 
 def conditional_proba(pairs: DataFrame) -> DataFrame:
@@ -30,8 +32,46 @@ def conditional_proba(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _values(proba: DataFrame) -> DataFrame:
-    return proba.select(F.col("ci").alias("column"), F.col("vi").alias("v")).distinct()
+def _with_listing(proba: DataFrame) -> DataFrame:
+    """Add one row per value, under a column name of its own, in which all values of a column meet.
+
+    It makes value pairs appear that share nothing. It comes from the same rows as the shares, so the
+    counts behind them are not computed a second time.
+    """
+    place = F.row_number().over(Window.partitionBy("ci", "vi").orderBy("cj", "vj"))
+    none = F.struct(F.lit("").alias("cj"), F.lit(None).alias("vj"), F.lit(0.0).alias("p"))
+    rows = F.array_compact(F.array(F.struct("cj", "vj", "p"), F.when(F.col("place") == 1, none)))
+    return proba.withColumn("place", place).select("ci", "vi", F.inline(rows))
+
+
+def _sliced(shares: DataFrame) -> DataFrame:
+    """Cut the groups whose values are to be paired into slices, so that no task pairs a large one.
+
+    A group of g values gets s = ceil(g / GROUP_SIZE) slices and one cell per unordered pair of slices.
+    Each value is sent to the s cells of its slice. Two values meet in the cell of their two slices;
+    ``_pairs_of`` skips the other cells two values of one slice share.
+    """
+    size = F.count("*").over(Window.partitionBy("ci", "cj", "vj"))
+    out = shares.withColumn("slices", F.ceil(size / F.lit(GROUP_SIZE)).cast("int"))
+    out = out.withColumn("slice", F.pmod(F.xxhash64("vi"), F.col("slices")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return out.select(
+        "ci", "cj", "vj", "vi", "p", "slice",
+        F.least("slice", "other").alias("cell_a"), F.greatest("slice", "other").alias("cell_b"),
+    )
+
+
+def _pairs_of(rows: DataFrame) -> DataFrame:
+    """``column, vx, vy, low`` for every two values that meet; both sides are one shuffled table."""
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("ci", "cj", "cell_a", "cell_b")]
+    same.append(F.col("x.vj").eqNullSafe(F.col("y.vj")))
+    once = (F.col("x.slice") != F.col("y.slice")) | (F.col("x.cell_a") == F.col("x.cell_b"))
+    met = x.join(y, reduce(and_, same) & (F.col("x.vi") < F.col("y.vi")) & once)
+    return met.select(
+        F.col("x.ci").alias("column"), F.col("x.vi").alias("vx"), F.col("y.vi").alias("vy"),
+        F.least("x.p", "y.p").alias("low"),
+    )
 
 
 def value_distance(proba: DataFrame, columns: int) -> DataFrame:
@@ -39,34 +79,15 @@ def value_distance(proba: DataFrame, columns: int) -> DataFrame:
 
     ``columns`` is the number of columns compared. ``distance`` lies between 0 and 1 and is
     ``cooccurrence - 1``. The result itself lists value pairs, so the columns should be encoded
-    ones (leading terms plus ``others``, or bins); nothing here depends on the number of rows.
+    ones (leading terms plus ``others``, or bins); nothing after the pair counts depends on the number
+    of rows.
     """
     if columns < 2:
         raise ValueError("a distance needs at least two columns")
-    a = proba.select("ci", "cj", "vj", F.col("vi").alias("vx"), F.col("p").alias("px"))
-    b = proba.select("ci", "cj", "vj", F.col("vi").alias("vy"), F.col("p").alias("py"))
-    shared = (
-        a.join(b, ["ci", "cj", "vj"])
-        .where("vx < vy")
-        .select(F.col("ci").alias("column"), "vx", "vy", F.least("px", "py").alias("low"))
-    )
-    # Pairs that share nothing must be listed too. Each column's values are cut into slices, so that
-    # the pairs of a column with many values are spread over tasks.
-    values = _values(proba)
-    left = values.select(
-        "column", F.col("v").alias("vx"), F.pmod(F.xxhash64("v"), F.lit(PAIR_SLICES)).alias("slice")
-    )
-    right = values.select(
-        "column", F.col("v").alias("vy"),
-        F.explode(F.sequence(F.lit(0), F.lit(PAIR_SLICES - 1)).cast("array<bigint>")).alias("slice"),
-    )
-    listed = left.join(right, ["column", "slice"]).where("vx < vy").select(
-        "column", "vx", "vy", F.lit(0.0).alias("low")
-    )
-    low = shared.unionByName(listed).groupBy("column", "vx", "vy").agg(F.sum("low").alias("low"))
-    gap = F.lit(1.0) - F.col("low") / F.lit(columns - 1)
+    met = _pairs_of(_sliced(_with_listing(proba)))
+    low = met.groupBy("column", "vx", "vy").agg(F.sum("low").alias("low"))
     # identical distributions can end up a rounding error below zero
-    distance = F.greatest(gap, F.lit(0.0))
+    distance = F.greatest(F.lit(1.0) - F.col("low") / F.lit(columns - 1), F.lit(0.0))
     return low.select(
         "column", "vx", "vy", (distance + 1).alias("cooccurrence"), distance.alias("distance")
     )
@@ -84,15 +105,14 @@ def significance(proba: DataFrame, columns: int, bins: int = DISTANCE_BINS) -> D
     group = Window.partitionBy("ci", "cj", "vj")
     above = F.count("*").over(group) - F.row_number().over(group.orderBy("p", "vi"))
     low = (
-        proba.select("ci", (F.col("p") * above).alias("low"))
+        proba.select("ci", "vi", (F.col("p") * above).alias("low"))
         .groupBy(F.col("ci").alias("column"))
-        .agg(F.sum("low").alias("low"))
+        .agg(F.sum("low").alias("low"), F.count_distinct("vi").alias("n"))
     )
-    sizes = _values(proba).groupBy("column").agg(F.count("*").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     total = F.greatest(pairs - F.col("low") / F.lit(columns - 1), F.lit(0.0))
     per = F.lit(bins * (bins - 1) / 2)
-    return low.join(sizes, "column").select(
+    return low.select(
         "column", (total / per).alias("significance"), ((total + pairs) / per).alias("significance_raw")
     )
 
