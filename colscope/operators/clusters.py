@@ -145,7 +145,7 @@ def fit_mixed_clusters(
     base = df.select(
         *[_scaled(c, bounds[c]).alias(n) for c, n in zip(quanti, numbers)],
         *[ref(c).cast("double").alias(n) for c, n in zip(quali, values)],
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ).hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centres = tuple(
             Centre(

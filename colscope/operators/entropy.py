@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.columns import dtype, is_date, is_numeric, is_text, name_of, present, ref, require_present
+from colscope.columns import dtype, is_date, is_numeric, is_text, present, ref, require_present
 from colscope.constants import ENTROPY_BINS
 from colscope.functions.dates import spans
 from colscope.functions.typing import epoch_seconds
@@ -35,17 +35,43 @@ def normalised_entropy(n: Column, c_log_c: Column, classes: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).when(classes > 1, score)
 
 
-def _class_counts(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """``pos, v, c``: rows per class of each key; a column without values keeps one empty row."""
-    names = [f"c{i}" for i in range(len(keys))]
+# Low bits of a class key that hold the position of its column.
+_POSITION_BITS = 16
+
+
+def _empty(df: DataFrame, columns: int, value: T.DataType) -> DataFrame:
+    """One row without a class per column, so that a column without values is reported too."""
+    return df.sparkSession.range(columns, numPartitions=1).select(
+        F.col("id").cast("int").alias("pos"), F.lit(None).cast(value).alias("v"),
+        F.lit(0).cast("bigint").alias("c"),
+    )
+
+
+def _text_counts(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """``pos, v, c``: rows per text value of each column."""
+    names = [str(i) for i in range(len(keys))]
     flat = df.select(*[k.alias(n) for k, n in zip(keys, names)]).unpivot([], names, "pos", "v")
     counts = flat.where("v is not null").groupBy("pos", "v").agg(F.count("*").alias("c"))
-    empty = df.sparkSession.range(len(keys), numPartitions=1).select(
-        F.concat(F.lit("c"), F.col("id").cast("string")).alias("pos"),
-        F.lit(None).cast(flat.schema["v"].dataType).alias("v"),
-        F.lit(0).cast("bigint").alias("c"),
+    return counts.withColumn("pos", F.col("pos").cast("int")).unionByName(
+        _empty(df, len(keys), T.StringType())
     )
-    return counts.unionByName(empty)
+
+
+def _number_counts(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """``pos, v, c``: rows per whole-number class of each column.
+
+    Class and column position share one number, the cheapest grouping key there is.
+    """
+    if len(keys) > 1 << _POSITION_BITS:
+        raise ValueError(f"more than {1 << _POSITION_BITS} columns")
+    packed = [F.shiftleft(k.cast("bigint"), _POSITION_BITS) + i for i, k in enumerate(keys)]
+    flat = df.select(F.explode(F.array(*packed)).alias("key")).where("key is not null")
+    counts = flat.groupBy("key").agg(F.count("*").alias("c"))
+    return counts.select(
+        F.col("key").bitwiseAND((1 << _POSITION_BITS) - 1).cast("int").alias("pos"),
+        F.shiftright("key", _POSITION_BITS).alias("v"),
+        "c",
+    ).unionByName(_empty(df, len(keys), T.LongType()))
 
 
 def _sums(counts: DataFrame, *keys: str, extra: tuple[Column, ...] = ()) -> DataFrame:
@@ -59,7 +85,7 @@ def _sums(counts: DataFrame, *keys: str, extra: tuple[Column, ...] = ()) -> Data
 
 def _result(sums: DataFrame, columns: list[str], kind: str, k: Column, score: Column) -> DataFrame:
     return sums.select(
-        name_of("pos", columns).alias("column"),
+        F.element_at(F.array(*map(F.lit, columns)), F.col("pos") + 1).alias("column"),
         F.lit(kind).alias("kind"),
         F.col("n").cast("bigint").alias("n"),
         k.cast("bigint").alias("classes"),
@@ -78,7 +104,7 @@ def entropy_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Entropy of the value frequencies; nulls left out, k = number of distinct values."""
     require_present(df, columns)
     keys = [present(ref(c), dtype(df, c)).cast("string") for c in columns]
-    sums = _sums(_class_counts(df, keys), "pos")
+    sums = _sums(_text_counts(df, keys), "pos")
     k = F.col("k")
     return _result(sums, columns, "categorical", k, normalised_entropy(F.col("n"), F.col("clogc"), k))
 
@@ -105,7 +131,7 @@ def entropy_numeric(df: DataFrame, columns: list[str], bins: int = ENTROPY_BINS)
         equal = F.least(F.floor((v - lo) / width), F.lit(bins - 1)) - bins
         keys.append(F.when(width.isNotNull(), equal).otherwise(F.floor(v - lo)))
     sums = _sums(
-        _class_counts(named, keys), "pos", extra=(F.min("v").alias("first"), F.max("v").alias("last"))
+        _number_counts(named, keys), "pos", extra=(F.min("v").alias("first"), F.max("v").alias("last"))
     )
     # the largest value always fills the last unit bin, so that bin tells the number of classes
     k = F.when(F.col("first") < 0, F.lit(bins)).otherwise(F.coalesce(F.col("last") + 1, F.lit(0)))
@@ -154,7 +180,7 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
         unit = F.when(mask >= _SUB_DAY & -_SUB_DAY, epoch_seconds(v, t)).otherwise(day)
         # the bit set travels in the low bits of the key, so that counting needs no join to it
         keys.append(F.shiftleft(unit, len(_LEVELS)) + mask)
-    counts = _class_counts(named, keys)
+    counts = _number_counts(named, keys)
     mask = F.coalesce(F.col("v").bitwiseAND((1 << len(_LEVELS)) - 1), F.lit(0))
     fits = F.array_compact(
         F.array(*[F.when(mask.bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(_LEVELS)])

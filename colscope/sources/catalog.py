@@ -6,6 +6,8 @@ avg_values_count, is_multi, values`` where ``entry`` is the JSON text the row wa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,7 @@ from colscope.columns import (
     is_numeric,
     is_term_array,
     is_text,
+    name_of,
     present,
     ref,
     require_present,
@@ -160,7 +163,7 @@ def infer_role(t: T.DataType) -> str:
 def build_catalog(
     df: DataFrame, columns: list[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """Catalog metrics computed from the table, in one aggregate over the scalar columns.
+    """Catalog metrics computed from the table: one aggregate, and a count of values per column type.
 
     ``column, type, min_value, max_value, avg, empty_lines, values_count, avg_values_count,
     bounding_box``. Dates are measured in epoch milliseconds. ``values_count`` is the exact number of
@@ -174,15 +177,15 @@ def build_catalog(
     point = "struct<top:double,left:double,bottom:double,right:double>"
     aggs: list[Column] = []
     structs: list[Column] = []
+    exact: dict[str, list[str]] = {}
     for i, name in enumerate(cols):
         t = dtype(df, name)
         role = infer_role(t)
         c = present(ref(name), t)
-        distinct = (
-            (F.approx_count_distinct if approximate else F.count_distinct)(c)
-            if role in ("terms", "number", "date") and not is_term_array(t)
-            else null_n
-        )
+        counted = role in ("terms", "number", "date") and not is_term_array(t)
+        distinct = F.approx_count_distinct(c) if counted and approximate else null_n
+        if counted and not approximate:
+            exact.setdefault(t.simpleString(), []).append(name)
         size = F.avg(F.when(c.isNotNull(), F.size(c))) if is_term_array(t) else null_d
         has = F.max(c.isNotNull().cast("double")) if role != "other" and not is_term_array(t) else size
         # a date's bounds are taken before converting, so the scan compares native values
@@ -217,17 +220,33 @@ def build_catalog(
             )
         )
     out = rows_of(df.agg(*aggs), structs)
+    parts = [_distinct_values(df, names) for names in exact.values()]
     arrays = [c for c in cols if is_term_array(dtype(df, c))]
-    if not arrays:
+    if arrays:
+        count = F.approx_count_distinct if approximate else F.count_distinct
+        parts.append(field_terms(df, arrays).groupBy("field").agg(count("term").alias("_distinct")))
+    if not parts:
         return out
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    sizes = field_terms(df, arrays).groupBy("field").agg(count("term").alias("_terms"))
-    named = out.join(sizes, F.col("column") == F.col("field"), "left")
+    named = out.join(reduce(DataFrame.unionByName, parts), F.col("column") == F.col("field"), "left")
+    # a column counted exactly that has no values at all has no row among the counts
+    found = F.coalesce("values_count", "_distinct", F.when(F.col("type").isin("terms", "number", "date"), 0))
     return named.select(
-        *[c for c in out.columns if c not in ("values_count", "avg_values_count", "bounding_box")],
-        F.coalesce("values_count", "_terms").alias("values_count"),
-        "avg_values_count",
-        "bounding_box",
+        *[found.cast("bigint").alias(c) if c == "values_count" else F.col(c) for c in out.columns]
+    )
+
+
+def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``field, _distinct`` for columns of one type.
+
+    Values are grouped in long form: one narrow row per value instead of one wide row per value and
+    column, which is what several distinct counts in one aggregate would shuffle.
+    """
+    values = df.select(*[present(ref(c), dtype(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    flat = values.unpivot([], values.columns, "pos", "v").where("v is not null")
+    return (
+        flat.groupBy("pos", "v").agg(F.lit(1).alias("one"))
+        .groupBy("pos").agg(F.count("one").alias("_distinct"))
+        .select(name_of("pos", columns).alias("field"), "_distinct")
     )
 
 
