@@ -128,7 +128,8 @@ def entropy_numeric(df: DataFrame, columns: list[str], bins: int = ENTROPY_BINS)
     for i in range(len(columns)):
         lo, width, v = F.col(f"b.lo{i}"), F.col(f"b.w{i}"), F.col(f"v{i}")
         # equal bins are numbered below zero, which tells the two kinds apart after counting
-        equal = F.least(F.floor((v - lo) / width), F.lit(bins - 1)) - bins
+        equal = F.floor((v - lo) / width)
+        equal = F.when(equal < bins, equal).when(equal >= bins, F.lit(bins - 1)) - bins
         keys.append(F.when(width.isNotNull(), equal).otherwise(F.floor(v - lo)))
     sums = _sums(
         _number_counts(named, keys), "pos", extra=(F.min("v").alias("first"), F.max("v").alias("last"))
@@ -181,25 +182,28 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
         # the bit set travels in the low bits of the key, so that counting needs no join to it
         keys.append(F.shiftleft(unit, len(_LEVELS)) + mask)
     counts = _number_counts(named, keys)
-    mask = F.coalesce(F.col("v").bitwiseAND((1 << len(_LEVELS)) - 1), F.lit(0))
-    fits = F.array_compact(
-        F.array(*[F.when(mask.bitwiseAND(1 << i) > 0, F.lit(name)) for i, name in enumerate(_LEVELS)])
+    listed = ", ".join(f"IF(mask & {1 << i} > 0, '{name}', NULL)" for i, name in enumerate(_LEVELS))
+    levels = (
+        counts.selectExpr(
+            "pos", "c", f"shiftright(v, {len(_LEVELS)}) AS unit",
+            f"coalesce(v & {(1 << len(_LEVELS)) - 1}, 0) AS mask",
+        )
+        .selectExpr(
+            "pos", "c", "unit",
+            f"date_from_unix_date(cast(IF(mask & {_SUB_DAY} > 0, floor(unit / 86400), unit) AS int)) AS day",
+            f"explode_outer(array_compact(array({listed}))) AS granularity",
+        )
     )
-    unit = F.shiftright("v", len(_LEVELS))
-    day = F.when(mask.bitwiseAND(_SUB_DAY) > 0, F.floor(unit / 86400)).otherwise(unit)
-    levels = counts.select(
-        "pos", "c", unit.alias("unit"), F.date_from_unix_date(day.cast("int")).alias("day"),
-        F.explode_outer(fits).alias("granularity"),
-    )
-    g = F.col("granularity")
-    key = (
-        F.when(g == "year", F.year("day").cast("bigint"))
-        .when(g == "month", (F.year("day") * 12 + F.month("day")).cast("bigint"))
-        .when(g == "week", F.unix_date(F.trunc("day", "week")).cast("bigint"))
-        .when(g == "day", F.unix_date("day").cast("bigint"))
-        .when(g == "hour", F.floor(F.col("unit") / 3600))
-        .when(g == "minute", F.floor(F.col("unit") / 60))
-        .otherwise(F.col("unit"))
+    key = F.expr(
+        """CASE granularity
+             WHEN 'year' THEN year(day)
+             WHEN 'month' THEN year(day) * 12 + month(day)
+             WHEN 'week' THEN unix_date(trunc(day, 'week'))
+             WHEN 'day' THEN unix_date(day)
+             WHEN 'hour' THEN floor(unit / 3600)
+             WHEN 'minute' THEN floor(unit / 60)
+             ELSE unit
+           END"""
     )
     per_key = levels.groupBy("pos", "granularity", key.alias("v")).agg(F.sum("c").alias("c"))
     score = normalised_entropy(F.col("n"), F.col("clogc"), F.col("k"))

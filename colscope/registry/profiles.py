@@ -224,3 +224,31 @@ def entropy_profile_query(spark, sf):
 )
 def entropy_profile_orders(spark, sf):
     return _rounded(entropy_profile(table(spark, sf, "orders")))
+
+
+_GAPS = {
+    "flag": "nullif(l_returnflag, 'N')",
+    "line": "nullif(l_linenumber, 7)",
+    "qty": "CASE WHEN l_linenumber <= 5 THEN l_quantity END",
+    "ship": "CASE WHEN l_linenumber <= 4 THEN l_shipdate END",
+}
+_GAPS_SQL = "(SELECT " + ", ".join(f"{e} AS {n}" for n, e in _GAPS.items()) + " FROM lineitem)"
+_GAPS_DATE = f"(SELECT ship FROM {_GAPS_SQL} WHERE ship IS NOT NULL)"
+
+
+def _present_sql(c: str, make) -> str:
+    return make(c, f"(SELECT {c} FROM {_GAPS_SQL} WHERE {c} IS NOT NULL)")
+
+
+@query(
+    "entropy_profile_gaps",
+    _profile_sql(
+        [
+            _present_sql("flag", _cat_sql), _present_sql("line", _num_sql), _present_sql("qty", _num_sql),
+            _date_sql("ship", _GAPS_DATE, ["year", "month", "day"]),
+        ]
+    ),
+)
+def entropy_profile_gaps(spark, sf):
+    df = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _GAPS.items()])
+    return _rounded(entropy_profile(df))

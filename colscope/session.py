@@ -19,6 +19,8 @@ def build_session(app: str = "colscope", cores: int | str = "*", **conf: str) ->
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # recording the Python line of every column expression costs more than building it
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(n))
     )
     for k, v in conf.items():
