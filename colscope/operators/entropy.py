@@ -57,21 +57,31 @@ def _text_counts(df: DataFrame, keys: list[Column]) -> DataFrame:
     )
 
 
-def _number_counts(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """``pos, v, c``: rows per whole-number class of each column.
+def _stacked(df: DataFrame, values: list[Column], **fitted: Column) -> DataFrame:
+    """``pos, v`` and the fitted arrays: the present values of all columns under each other.
 
-    Class and column position share one number, the cheapest grouping key there is.
+    What follows is written once for all columns, so the generated code stays small enough to be
+    compiled however many columns there are.
     """
-    if len(keys) > 1 << _POSITION_BITS:
+    if len(values) > 1 << _POSITION_BITS:
         raise ValueError(f"more than {1 << _POSITION_BITS} columns")
-    packed = [F.shiftleft(k.cast("bigint"), _POSITION_BITS) + i for i, k in enumerate(keys)]
-    flat = df.select(F.explode(F.array(*packed)).alias("key")).where("key is not null")
-    counts = flat.groupBy("key").agg(F.count("*").alias("c"))
+    arrays = [c.alias(n) for n, c in fitted.items()]
+    rows = df.select(F.array(*values).alias("a"), *arrays)
+    return rows.select(*fitted, F.posexplode("a").alias("pos", "v")).where("v is not null")
+
+
+def _number_counts(stacked: DataFrame, columns: int, unit: str) -> DataFrame:
+    """``pos, v, c``: rows per whole-number class ``unit`` of each column.
+
+    Class and column position share one number, the cheapest grouping key there is.
+    """
+    flat = stacked.selectExpr(f"shiftleft(cast({unit} AS bigint), {_POSITION_BITS}) + pos AS key")
+    counts = flat.where("key is not null").groupBy("key").agg(F.count("*").alias("c"))
     return counts.select(
         F.col("key").bitwiseAND((1 << _POSITION_BITS) - 1).cast("int").alias("pos"),
         F.shiftright("key", _POSITION_BITS).alias("v"),
         "c",
-    ).unionByName(_empty(df, len(keys), T.LongType()))
+    ).unionByName(_empty(stacked, columns, T.LongType()))
 
 
 def _sums(counts: DataFrame, *keys: str, extra: tuple[Column, ...] = ()) -> DataFrame:
@@ -118,22 +128,17 @@ def entropy_numeric(df: DataFrame, columns: list[str], bins: int = ENTROPY_BINS)
     require_present(df, columns)
     values = [present(ref(c), dtype(df, c)).cast("double") for c in columns]
     # per column: the lower bound, and the bin width when bins are equal (null for unit bins)
-    fields = []
-    for i in range(len(columns)):
-        lo, hi = F.col(f"lo{i}"), F.col(f"hi{i}")
-        fields += [lo, F.when(hi - lo > bins, (hi - lo) / F.lit(float(bins))).alias(f"w{i}")]
-    cuts = _bounds(df, values).select(F.struct(*fields).alias("b")).scalar()
-    named = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)], cuts.alias("b"))
-    keys = []
-    for i in range(len(columns)):
-        lo, width, v = F.col(f"b.lo{i}"), F.col(f"b.w{i}"), F.col(f"v{i}")
-        # equal bins are numbered below zero, which tells the two kinds apart after counting
-        equal = F.floor((v - lo) / width)
-        equal = F.when(equal < bins, equal).when(equal >= bins, F.lit(bins - 1)) - bins
-        keys.append(F.when(width.isNotNull(), equal).otherwise(F.floor(v - lo)))
-    sums = _sums(
-        _number_counts(named, keys), "pos", extra=(F.min("v").alias("first"), F.max("v").alias("last"))
-    )
+    lows = [F.col(f"lo{i}") for i in range(len(columns))]
+    ranges = [F.col(f"hi{i}") - lo for i, lo in enumerate(lows)]
+    widths = [F.when(r > bins, r / F.lit(float(bins))) for r in ranges]
+    found = _bounds(df, values)
+    stacked = _stacked(
+        df, values, lo=found.select(F.array(*lows)).scalar(), width=found.select(F.array(*widths)).scalar()
+    ).selectExpr("pos", "v - lo[pos] AS above", "width[pos] AS width")
+    # equal bins are numbered below zero, which tells the two kinds apart after counting
+    unit = f"IF(width IS NULL, floor(above), least(floor(above / width), {bins - 1}) - {bins})"
+    counts = _number_counts(stacked, len(columns), unit)
+    sums = _sums(counts, "pos", extra=(F.min("v").alias("first"), F.max("v").alias("last")))
     # the largest value always fills the last unit bin, so that bin tells the number of classes
     k = F.when(F.col("first") < 0, F.lit(bins)).otherwise(F.coalesce(F.col("last") + 1, F.lit(0)))
     return _result(sums, columns, "numeric", k, normalised_entropy(F.col("n"), F.col("clogc"), k))
@@ -159,6 +164,13 @@ def _qualifying(lo: Column, hi: Column, t: T.DataType, monday_rule: bool) -> Col
     return mask + F.when(few, bits(fine, len(coarse))).otherwise(F.lit(0))
 
 
+def _wall_seconds(c: Column, t: T.DataType) -> Column:
+    """Seconds of the calendar time shown in the session time zone."""
+    if isinstance(t, T.TimestampType):
+        c, t = c.cast("timestamp_ntz"), T.TimestampNTZType()
+    return epoch_seconds(c, t)
+
+
 def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = True) -> DataFrame:
     """Score of each qualifying granularity: ``pos, granularity, n, k, entropy``.
 
@@ -168,20 +180,14 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
     """
     require_present(df, columns)
     types = [dtype(df, c) for c in columns]
-    masks = [
-        _qualifying(F.col(f"lo{i}"), F.col(f"hi{i}"), t, monday_rule).alias(f"m{i}")
-        for i, t in enumerate(types)
-    ]
-    spans_row = _bounds(df, [ref(c) for c in columns]).select(F.struct(*masks).alias("m")).scalar()
-    named = df.select(*[ref(c).alias(f"v{i}") for i, c in enumerate(columns)], spans_row.alias("m"))
-    keys = []
-    for i, t in enumerate(types):
-        v, mask = F.col(f"v{i}"), F.col(f"m.m{i}")
-        day = F.unix_date(v.cast("date")).cast("bigint")
-        unit = F.when(mask >= _SUB_DAY & -_SUB_DAY, epoch_seconds(v, t)).otherwise(day)
-        # the bit set travels in the low bits of the key, so that counting needs no join to it
-        keys.append(F.shiftleft(unit, len(_LEVELS)) + mask)
-    counts = _number_counts(named, keys)
+    masks = [_qualifying(F.col(f"lo{i}"), F.col(f"hi{i}"), t, monday_rule) for i, t in enumerate(types)]
+    fits = _bounds(df, [ref(c) for c in columns]).select(F.array(*masks)).scalar()
+    seconds = [_wall_seconds(ref(c), t) for c, t in zip(columns, types)]
+    stacked = _stacked(df, seconds, fits=fits).selectExpr("pos", "v", "fits[pos] AS mask")
+    # the bit set travels in the low bits of the key, so that counting needs no join to it
+    first_fine = _SUB_DAY & -_SUB_DAY
+    unit = f"IF(mask >= {first_fine}, v, cast(floor(v / 86400) AS bigint))"
+    counts = _number_counts(stacked, len(columns), f"shiftleft({unit}, {len(_LEVELS)}) + mask")
     listed = ", ".join(f"IF(mask & {1 << i} > 0, '{name}', NULL)" for i, name in enumerate(_LEVELS))
     levels = (
         counts.selectExpr(
