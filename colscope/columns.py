@@ -82,6 +82,15 @@ def present(c: Column, t: T.DataType) -> Column:
     return c
 
 
+def counting_key(c: Column) -> Column:
+    """A text to count by: itself, or the digest of the whole text when it is long.
+
+    Equal texts have equal keys, and no short text looks like a digest (65 characters), so counts are
+    those of the texts, while long texts are not carried through the shuffle.
+    """
+    return F.when(F.length(c) > 64, F.concat(F.lit("#"), F.sha2(c, 256))).otherwise(c)
+
+
 def rows_of(agg: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn a one-row wide aggregate into one row per struct."""
     return agg.select(F.inline(F.array(*structs)))

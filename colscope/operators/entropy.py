@@ -18,7 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.columns import dtype, is_date, is_numeric, is_text, present, ref, require_present
+from colscope.columns import (
+    counting_key,
+    dtype,
+    is_date,
+    is_numeric,
+    is_text,
+    present,
+    ref,
+    require_present,
+)
 from colscope.constants import ENTROPY_BINS
 from colscope.functions.dates import spans
 from colscope.functions.typing import epoch_seconds
@@ -113,7 +122,7 @@ def _bounds(df: DataFrame, values: list[Column]) -> DataFrame:
 def entropy_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """Entropy of the value frequencies; nulls left out, k = number of distinct values."""
     require_present(df, columns)
-    keys = [present(ref(c), dtype(df, c)).cast("string") for c in columns]
+    keys = [counting_key(present(ref(c), dtype(df, c)).cast("string")) for c in columns]
     sums = _sums(_text_counts(df, keys), "pos")
     k = F.col("k")
     return _result(sums, columns, "categorical", k, normalised_entropy(F.col("n"), F.col("clogc"), k))
@@ -182,10 +191,17 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
     types = [dtype(df, c) for c in columns]
     masks = [_qualifying(F.col(f"lo{i}"), F.col(f"hi{i}"), t, monday_rule) for i, t in enumerate(types)]
     fits = _bounds(df, [ref(c) for c in columns]).select(F.array(*masks)).scalar()
-    seconds = [_wall_seconds(ref(c), t) for c, t in zip(columns, types)]
-    stacked = _stacked(df, seconds, fits=fits).selectExpr("pos", "v", "fits[pos] AS mask")
-    # the bit set travels in the low bits of the key, so that counting needs no join to it
+    # the time of day is worked out only where sub-day scores need it
     first_fine = _SUB_DAY & -_SUB_DAY
+    named = df.select(*[ref(c).alias(f"v{i}") for i, c in enumerate(columns)], fits.alias("fits"))
+    seconds = [
+        F.when(F.get("fits", F.lit(i)) >= first_fine, _wall_seconds(F.col(f"v{i}"), t)).otherwise(
+            F.unix_date(F.col(f"v{i}").cast("date")).cast("bigint") * 86400
+        )
+        for i, t in enumerate(types)
+    ]
+    stacked = _stacked(named, seconds, fits=F.col("fits")).selectExpr("pos", "v", "fits[pos] AS mask")
+    # the bit set travels in the low bits of the key, so that counting needs no join to it
     unit = f"IF(mask >= {first_fine}, v, cast(floor(v / 86400) AS bigint))"
     counts = _number_counts(stacked, len(columns), f"shiftleft({unit}, {len(_LEVELS)}) + mask")
     listed = ", ".join(f"IF(mask & {1 << i} > 0, '{name}', NULL)" for i, name in enumerate(_LEVELS))

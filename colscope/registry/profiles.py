@@ -252,3 +252,8 @@ def _present_sql(c: str, make) -> str:
 def entropy_profile_gaps(spark, sf):
     df = table(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _GAPS.items()])
     return _rounded(entropy_profile(df))
+
+
+@query("entropy_texts", _union([_cat_sql(c, "documents") for c in ("text", "lang", "source")]))
+def entropy_texts(spark, sf):
+    return _rounded(entropy_categorical(table(spark, sf, "documents"), ["text", "lang", "source"]))

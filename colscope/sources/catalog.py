@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colscope.columns import (
+    counting_key,
     dtype,
     is_date,
     is_numeric,
@@ -241,7 +242,10 @@ def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
     Values are grouped in long form: one narrow row per value instead of one wide row per value and
     column, which is what several distinct counts in one aggregate would shuffle.
     """
-    values = df.select(*[present(ref(c), dtype(df, c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    keys = [present(ref(c), dtype(df, c)) for c in columns]
+    if is_text(dtype(df, columns[0])):
+        keys = [counting_key(k.cast("string")) for k in keys]
+    values = df.select(*[k.alias(f"c{i}") for i, k in enumerate(keys)])
     flat = values.unpivot([], values.columns, "pos", "v").where("v is not null")
     return (
         flat.groupBy("pos", "v").agg(F.lit(1).alias("one"))

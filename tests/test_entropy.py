@@ -26,6 +26,11 @@ def test_two_even_classes(spark):
     assert one(spark, [True, False], "boolean") == (2, 2, 1.0)
 
 
+def test_long_texts_differ_to_the_last_character(spark):
+    long = "x" * 5000
+    assert one(spark, [long + "a", long + "b", long + "a", long + "b", "s", "s"], "string") == (6, 3, 1.0)
+
+
 def test_one_class_has_no_score(spark):
     assert one(spark, ["a", "a"], "string") == (2, 1, None)
     assert one(spark, [5.0, 5.0], "double") == (2, 1, None)
