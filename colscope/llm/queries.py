@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from colscope.llm import mixing
+from pyspark.sql import functions as F
+
+from colscope.llm import mixing, rules, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -10,3 +12,32 @@ from colscope.llm.scratch import table
 @query("op1_mix_sources")
 def op1_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark, sf_dir):
+    found = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *rules.FIGURES, "base_failed", "kept", "rejected_by")
+
+
+@query(
+    "op2_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v)
+        WHERE q.vec_id % 100 = 0
+    ), r AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op2_exact_top_k(spark, sf_dir):
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
