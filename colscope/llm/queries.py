@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colscope.llm import mixing, rules, vafile
+from colscope.llm import mixing, pieces, rules, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
 
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the installed public tokenizer files have ``name``."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_mix_sources")
 def op1_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -41,3 +48,8 @@ def op6_quality_rules(spark, sf_dir):
 )
 def op2_exact_top_k(spark, sf_dir):
     return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
