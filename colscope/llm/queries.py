@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colscope.llm import mixing, pieces, rules, vafile
+from colscope.llm import mixing, pieces, quality, rules, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -53,3 +53,8 @@ def op2_exact_top_k(spark, sf_dir):
 @query("op4_sentencepiece")
 def op4_sentencepiece(spark, sf_dir):
     return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -95,9 +95,10 @@ class Words:
         return mix(np.add.reduceat(values * powers[place], at) + size.astype(np.uint64))
 
 
-def words(texts: pa.Array) -> Words:
+def words(texts: pa.Array, separators: np.ndarray = SEPARATORS) -> Words:
+    """Runs of bytes that are no separators, within each text."""
     data, ends = text_bytes(texts)
-    inside = ~SEPARATORS[data]
+    inside = ~separators[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[ends] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
