@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colscope.llm import mixing, pieces, quality, rules, vafile
+from colscope.llm import language, mixing, pieces, quality, rules, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -58,3 +58,11 @@ def op4_sentencepiece(spark, sf_dir):
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = language.fit(docs, model_path())
+    asked = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language.predict(asked, model)
