@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colscope.llm import language, mixing, pieces, quality, rules, vafile
+from colscope.llm import jaccard, language, mixing, pieces, quality, rules, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -66,3 +66,8 @@ def op5_language_id(spark, sf_dir):
     model = language.fit(docs, model_path())
     asked = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "text")
     return language.predict(asked, model)
+
+
+@query("op9_ngram_jaccard")
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
