@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from colscope.llm import jaccard, language, mixing, pieces, quality, rules, vafile
+from colscope.llm import jaccard, language, mixing, pieces, quality, rules, suffixes, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -71,3 +71,8 @@ def op5_language_id(spark, sf_dir):
 @query("op9_ngram_jaccard")
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    return suffixes.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
