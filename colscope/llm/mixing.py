@@ -106,6 +106,12 @@ def _plan(sizes: DataFrame, block_words: int, shard_words: int, weights: tuple[i
     return highest_quotients(joined, F.col("shard_size"), F.col("source_blocks"), ["source"], [F.col("shard")], "quota")
 
 
+def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+    return docs.select(
+        *keep, F.col("source").alias("_source"), F.col("doc_id").alias("_id"), text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("_text")
+    )
+
+
 def mix(
     docs: DataFrame,
     seed: int = 7,
@@ -118,28 +124,23 @@ def mix(
     """The columns of ``keep`` (default doc_id and source), ``size``, ``source_size``, ``target``, ``taken``,
     and the choice itself: ``repeats`` (whole copies), ``offset`` (of the text in its shard), ``blocks``,
     ``extra``, ``start`` (the blocks of its shard, how many are taken once more, and the seeded first one)."""
-    keep = keep or ["doc_id", "source"]
-    sized = docs.select(
-        *[c for c in keep if c not in RESULTS],
-        F.col("source").alias("_source"),
-        F.col("doc_id").alias("_id"),
-        text_size(F.col("text")).alias("size"),
-        F.xxhash64("text").alias("_text"),
-    )
-    sized = stored(sized, "mix-sizes")
+    keep = [c for c in (keep or ["doc_id", "source"]) if c not in RESULTS]
+    sized = stored(_sized(docs, [] if "text" in keep else keep), "mix-sizes")
     totals = sized.groupBy("_source").agg(F.sum("size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
     # as many shards as the source's words, or its rows if it has few words, ask for
     n_shards = F.greatest(F.ceil(F.col("_total") / shard_words), F.ceil(F.col("_rows") / shard_words), F.lit(1)).cast("long")
     totals = totals.select(F.col("_source").alias("_s"), n_shards.alias("_n"))
-    placed = (
-        sized.join(totals, F.col("_source").eqNullSafe(F.col("_s")))
-        .withColumn("_place", F.xxhash64(F.lit(seed), "_id", "_text"))
-        .withColumn("shard", F.pmod("_place", F.col("_n")))
-        .drop("_s", "_n")
-    )
+
+    def in_shards(rows: DataFrame) -> DataFrame:
+        at = rows.join(totals, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_place", F.xxhash64(F.lit(seed), "_id", "_text"))
+        return at.withColumn("shard", F.pmod("_place", F.col("_n"))).drop("_s", "_n")
+
+    placed = in_shards(sized)
     plan = _plan(placed.select(F.col("_source").alias("source"), "size", "shard"), block_words, shard_words, weights, most)
     plan = plan.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "source_size", "target", "shard_size", "quota")
     in_shard = Window.partitionBy("_source", "shard").orderBy("_place", "_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    if "text" in keep:  # texts are not stored again
+        placed = in_shards(_sized(docs, keep))
     laid = placed.withColumn("offset", F.coalesce(F.sum("size").over(in_shard), F.lit(0)))
     laid = laid.join(plan, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("shard") == F.col("_h")))
     blocks = F.ceil(F.col("shard_size") / block_words).cast("long")
@@ -153,8 +154,7 @@ def mix(
     )
     more = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(taken_again(b), inside(b)).otherwise(0))).otherwise(0)
     laid = laid.withColumn("taken", (F.col("repeats") * F.col("size") + more).cast("long"))
-    keep_now = [c for c in keep if c not in RESULTS]
-    return laid.select(*keep_now, "size", "source_size", "target", "taken", "repeats", "offset", "blocks", "extra", "start")
+    return laid.select(*keep, "size", "source_size", "target", "taken", "repeats", "offset", "blocks", "extra", "start")
 
 
 def taken_again(block: Column) -> Column:
@@ -164,7 +164,8 @@ def taken_again(block: Column) -> Column:
 
 def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a whole copy for each repeat, and one more row with the
-    words of the blocks that are taken once more. Documents of which nothing is taken go."""
+    words of the blocks that are taken once more. Documents of which nothing is taken go. Columns named as a
+    result of ``mix`` are left out; ``n_chars``, if there, is that of the new text."""
     chosen = mix(docs, block_words=block_words, keep=docs.columns, **options)
     names = [c for c in docs.columns if c not in RESULTS]
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from colscope.llm import jaccard, language, mixing, pieces, quality, rules, suffixes, vafile
@@ -76,3 +77,8 @@ def op9_ngram_jaccard(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     return suffixes.cut(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
