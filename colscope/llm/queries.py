@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from colscope.llm import jaccard, language, licences, mixing, pieces, quality, rules, suffixes, vafile
+from colscope.llm import jaccard, language, licences, mixing, passages, pieces, quality, rules, suffixes, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -87,3 +87,8 @@ def pipeline(spark, sf_dir):
 @query("op8_license_scan")
 def op8_license_scan(spark, sf_dir):
     return licences.documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op3_near_passages")
+def op3_near_passages(spark, sf_dir):
+    return passages.near_passages(table(spark, sf_dir, "documents"))
