@@ -38,6 +38,8 @@ RUN_BYTES = 24 << 20
 COMPARED = 20_000
 
 _P = 0x9E3779B97F4A7C15
+#: Anchors have small hashes; mixed once more they are even keys.
+_SPREAD = np.uint64(0x8EBC6AF09C88C6E3)
 _PI = pow(_P, -1, 1 << 64)
 _T = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,7 +93,7 @@ def anchors(hasher: Hasher, data: np.ndarray, ends: np.ndarray, length: int) ->
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(of)) - 1
     rows = np.repeat(row, count)[at]
-    return rows, of[at], of[at] - start[at], of[at] - start[last], h[of[at]]
+    return rows, of[at], of[at] - start[at], of[at] - start[last], mix(h[of[at]] ^ _SPREAD)
 
 
 def _grouped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
