@@ -176,12 +176,14 @@ class Model:
 def fit(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model | None:
     """A model of rows (doc_id, lang, text) that are not held out; None if there are none."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    share = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000.0 * sample_docs) / F.col("_n")
-    counts = stored(word_counts(known.join(sizes, "lang").filter(share)), "lang-words")
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    if not langs:
+    # languages are few: a model has a column for each
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return None
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, 1_000_000.0 * sample_docs / n)])
+    sample = known.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
+    counts = stored(word_counts(sample), "lang-words")
+    langs = sorted(sizes)
     pieces = load_pieces(vocabulary)
     p = np.full((len(pieces.hashes) + 1, len(langs)), 1.0 / len(pieces.hashes))
     column = {x: k for k, x in enumerate(langs)}
