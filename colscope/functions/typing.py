@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colscope.columns import dtype, is_time, ref, require_new, require_present
+from colscope.columns import dtype, is_date, is_time, ref, require_new, require_present
 from colscope.constants import NULL_TERM
 
 
@@ -68,9 +68,10 @@ def cast_by_role(
 ) -> DataFrame:
     """Cast text columns to the types their catalog entries name, in one projection.
 
-    ``string`` columns become ``<col>_quali`` (values outside the entry's list, if it has one, become
-    the text ``null``), ``date`` columns ``<col>_date``, all others ``<col>_quanti``. The input column
-    is replaced. The entry is kept as metadata of the output unless the input already has some.
+    ``string`` and ``terms`` columns become ``<col>_quali`` (values outside the entry's list, if it has
+    one, become the text ``null``), ``date`` columns ``<col>_date``, ``number`` columns (as doubles) and
+    all other SQL types ``<col>_quanti``. Columns of type ``other`` or ``coordinates`` are left out. The
+    input column is replaced; a column that is a date already needs no format. The entry is kept as metadata of the output unless the input already has some.
     ``entries`` maps a column to ``{"type": ..., "format": ..., "values": ...}``; see
     ``sources.catalog.entries``.
     """
@@ -86,15 +87,19 @@ def cast_by_role(
         if not e or not e.get("type"):
             raise ValueError(f"no catalog entry for column {f.name}")
         c, kind = ref(f.name), e["type"]
-        if kind == "string":
+        if kind in ("other", "coordinates"):
+            continue
+        if kind in ("string", "terms"):
             allowed = e.get("values")
             new, suffix = (c if not allowed else whitelist(c, allowed)), "quali"
+        elif kind == "date" and is_date(f.dataType):
+            new, suffix = c.cast("date"), "date"
         elif kind == "date":
             if not e.get("format"):
                 raise ValueError(f"no date format for column {f.name}")
             new, suffix = to_date(c, e["format"]), "date"
         else:
-            new, suffix = to_number(c, kind), "quanti"
+            new, suffix = to_number(c, "double" if kind == "number" else kind), "quanti"
         meta = f.metadata or {f.name: json.loads(json.dumps(dict(e), default=list))}
         made.append(f"{f.name}_{suffix}")
         out.append(new.alias(made[-1], metadata=meta))

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.columns import ref, require_new, require_present
+from colscope.columns import counting_key, dtype, present, ref, require_new, require_present
 from colscope.constants import DISTANCE_BINS, MAX_MODEL_LABELS
 from colscope.operators.aggregates import field_terms, terms_topk, value_counts
 from colscope.session import ensure_checkpointing
@@ -25,6 +25,14 @@ from colscope.session import ensure_checkpointing
 HOT_LABELS = 1_000
 
 
+class TooManyLabels(ValueError):
+    """Columns with more labels than a driver-side model may hold."""
+
+    def __init__(self, columns: list[str], most: int):
+        super().__init__(f"more than {most} labels: {', '.join(columns)}; index them with index_by_join")
+        self.columns = columns
+
+
 def fit_string_index(
     df: DataFrame,
     columns: list[str],
@@ -45,11 +53,12 @@ def fit_string_index(
     labels: dict[str, list[tuple[int, str]]] = {c: [] for c in columns}
     for r in rows:
         labels[r["field"]].append((-r["count"], r["term"]))
-    for c, found in labels.items():
-        if len(found) > max_labels:
-            raise ValueError(
-                f"column {c} has more than {max_labels} labels; index it with index_by_join"
-            )
+    if len(rows) > max_labels * len(columns):
+        sizes = {r["field"]: r["n"] for r in counts.groupBy("field").agg(F.count("*").alias("n")).collect()}
+        raise TooManyLabels([c for c in columns if sizes.get(c, 0) > max_labels], max_labels)
+    wide = [c for c, found in labels.items() if len(found) > max_labels]
+    if wide:
+        raise TooManyLabels(wide, max_labels)
     arrays = [[t for _, t in sorted(labels[c])] for c in columns]
     # one model per column: the multi-column constructor pads shorter label lists with nulls
     return PipelineModel(
@@ -61,13 +70,42 @@ def fit_string_index(
 
 
 def string_index(
-    df: DataFrame, columns: list[str], suffix: str = "-index", handle_invalid: str = "skip"
+    df: DataFrame,
+    columns: list[str],
+    suffix: str = "-index",
+    handle_invalid: str = "skip",
+    max_labels: int = MAX_MODEL_LABELS,
 ) -> DataFrame:
     """Add ``<col><suffix>`` with the frequency rank of the value; rows with nulls follow
-    ``handle_invalid`` (``skip`` drops them, ``keep`` gives them an index of their own)."""
+    ``handle_invalid`` (``skip`` drops them, ``keep`` gives them an index of their own).
+
+    Columns with more than ``max_labels`` labels get the same numbers by ``index_by_join``.
+    """
     outs = [c + suffix for c in columns]
     require_new(df, outs)
-    return fit_string_index(df, columns, outs, handle_invalid).transform(df)
+    try:
+        return fit_string_index(df, columns, outs, handle_invalid, max_labels).transform(df)
+    except TooManyLabels as found:
+        wide = found.columns
+    narrow = [c for c in columns if c not in wide]
+    # ranks are those of the whole table, so rows without a value go last
+    models = fit_string_index(df, narrow, [c + suffix for c in narrow], handle_invalid, max_labels) if narrow else None
+    out = index_by_join(df, wide, suffix, handle_invalid)
+    out = models.transform(out) if models else out
+    return out.select(*[ref(c) for c in df.columns], *[ref(o) for o in outs])
+
+
+def index_wide(df: DataFrame, columns: list[str], max_labels: int = MAX_MODEL_LABELS) -> tuple[DataFrame, list[str], PipelineModel | None]:
+    """For a pipeline: columns with too many labels for a stage indexed by join, their names, and the
+    fitted indexers of the others."""
+    outs = lambda some: [f"{c}-index" for c in some]
+    try:
+        return df, [], fit_string_index(df, columns, outs(columns), "skip", max_labels) if columns else None
+    except TooManyLabels as found:
+        wide = found.columns
+    narrow = [c for c in columns if c not in wide]
+    models = fit_string_index(df, narrow, outs(narrow), "skip", max_labels) if narrow else None
+    return index_by_join(df, wide, "-index", "skip"), wide, models
 
 
 def index_labels(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -108,35 +146,49 @@ def rank_labels(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def index_by_join(df: DataFrame, columns: list[str], suffix: str = "-index") -> DataFrame:
-    """``string_index`` (null stays null) for columns with any number of labels.
+def index_by_join(
+    df: DataFrame, columns: list[str], suffix: str = "-index", handle_invalid: str = "null"
+) -> DataFrame:
+    """``string_index`` for columns with any number of labels; by default null stays null.
 
-    The most frequent labels of each column, at most ``HOT_LABELS``, are broadcast, so the rows that
-    hold them are not moved to a task of their own label. The remaining rows join by shuffle; rows
-    already served are spread evenly in that join instead of meeting in one null partition.
+    Labels are ranked once and stored. The most frequent of each column, at most ``HOT_LABELS``, are
+    broadcast under keys of at most 65 characters, so the rows that hold them are not moved to a task of
+    their own label; only a column with more labels joins the rest by shuffle, where rows already
+    served are spread evenly instead of meeting in one null partition. The number of labels is kept as
+    metadata, the labels themselves are not.
     """
     require_new(df, [c + suffix for c in columns])
-    labels = rank_labels(df, columns).select("column", "label", "index")
+    ensure_checkpointing(df.sparkSession)
+    labels = rank_labels(df, columns).select("column", counting_key(F.col("label")).alias("label"), "index").checkpoint()
+    sizes = {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.count("*").alias("n")).collect()}
     kept = [ref(c) for c in df.columns]
     out = df
     for c in columns:
+        size = sizes.get(c, 0)
         mine = labels.where(F.col("column") == c)
         hot = mine.where(F.col("index") < HOT_LABELS).select(
             F.col("label").alias("_hot"), F.col("index").alias("_hot_index")
         )
-        cold = mine.where(F.col("index") >= HOT_LABELS).select(
-            F.col("label").alias("_cold"), F.col("index").alias("_cold_index"), F.lit(0).alias("_slot")
-        )
-        text = ref(c).cast("string")
-        out = out.join(F.broadcast(hot), text == F.col("_hot"), "left")
-        unserved = F.col("_hot").isNull() & ref(c).isNotNull()
-        # by partition number and label: a retried task places its rows as before
-        spread = F.pmod(F.xxhash64(F.spark_partition_id(), text), F.lit(4096)).cast("int")
-        out = out.withColumn("_row_slot", F.when(unserved, F.lit(0)).otherwise(spread + 1))
-        match = (text == F.col("_cold")) & (F.col("_row_slot") == F.col("_slot"))
-        out = out.join(cold, match, "left")
-        done = F.coalesce("_hot_index", "_cold_index").alias(c + suffix)
-        out = out.select(*kept, done)
+        out = out.withColumn("_key", counting_key(ref(c).cast("string")))
+        out = out.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+        done = F.col("_hot_index")
+        if size > HOT_LABELS:
+            cold = mine.where(F.col("index") >= HOT_LABELS).select(
+                F.col("label").alias("_cold"), F.col("index").alias("_cold_index"), F.lit(0).alias("_slot")
+            )
+            unserved = F.col("_hot").isNull() & F.col("_key").isNotNull()
+            # by partition number and label: a retried task places its rows as before
+            spread = F.pmod(F.xxhash64(F.spark_partition_id(), F.col("_key")), F.lit(4096)).cast("int")
+            out = out.withColumn("_row_slot", F.when(unserved, F.lit(0)).otherwise(spread + 1))
+            match = (F.col("_key") == F.col("_cold")) & (F.col("_row_slot") == F.col("_slot"))
+            out = out.join(cold, match, "left")
+            done = F.coalesce("_hot_index", "_cold_index")
+        if handle_invalid == "keep":
+            done, size = F.coalesce(done, F.lit(float(size))), size + 1
+        elif handle_invalid == "skip":
+            out = out.where(done.isNotNull())
+        meta = {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": size}}
+        out = out.select(*kept, done.alias(c + suffix, metadata=meta))
         kept.append(ref(c + suffix))
     return out
 
@@ -203,10 +255,12 @@ def bucketize(
     missing = [c for c in columns if c not in bounds or None in bounds[c]]
     if missing:
         raise ValueError(f"no bounds for {', '.join(missing)}")
-    out = df
+    # a missing number is no bin, whether it came as null or as NaN
+    shown = {c: f"_present_{i}" for i, c in enumerate(columns)}
+    out = df.select("*", *[present(ref(c), dtype(df, c)).alias(n) for c, n in shown.items()])
     for stage in bucketizer({c: bounds[c] for c in columns}, bins=bins):
-        out = stage.transform(out)
-    return out
+        out = stage.setInputCols([shown[c] for c in columns]).transform(out)
+    return out.drop(*shown.values())
 
 
 def assemble(df: DataFrame, columns: list[str], output_col: str = "features") -> DataFrame:
@@ -233,15 +287,19 @@ def feature_stages(
     multi: list[str],
     bounds: Mapping[str, tuple[float, float]] | None = None,
     output_col: str = "features",
+    indexers: PipelineModel | None = None,
 ) -> list:
     """Stages turning cleaned columns into the feature vector, indexes and bins (see
-    ``prepare_features``). Labels and bounds are found here, once for all columns."""
+    ``prepare_features``). Labels and bounds are found here, once for all columns; ``indexers`` are
+    those of the qualitative columns that ``df`` holds no index of yet."""
     stages: list = []
     parts: list[str] = []
     if quali:
         index = [f"{c}-index" for c in quali]
         vectors = [f"{c}-vec" for c in quali]
-        stages.append(fit_string_index(df, quali, index, "skip"))
+        todo = [c for c in quali if f"{c}-index" not in df.columns]
+        if todo:
+            stages.append(indexers or fit_string_index(df, todo, [f"{c}-index" for c in todo], "skip"))
         stages.append(OneHotEncoder(inputCols=index, outputCols=vectors, dropLast=False))
         parts += vectors
     if quanti:
@@ -267,6 +325,16 @@ def feature_stages(
     return stages
 
 
+def without_nan(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Missing numbers as nulls in the given columns."""
+    return df.select(
+        *[
+            present(ref(f.name), f.dataType).alias(f.name, metadata=f.metadata) if f.name in columns else ref(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
 def prepare_features(
     df: DataFrame,
     quali: list[str],
@@ -281,7 +349,9 @@ def prepare_features(
     indicators of the multi-valued columns. Bounds missing from ``bounds`` are measured on the table.
     """
     multi = multi or []
-    model = Pipeline(stages=feature_stages(df, quali, quanti, multi, bounds)).fit(df)
+    df = without_nan(df, quanti)
+    df, _, indexers = index_wide(df, quali)
+    model = Pipeline(stages=feature_stages(df, quali, quanti, multi, bounds, indexers=indexers)).fit(df)
     out = model.transform(df)
     names = [
         *(keep or []), "features",

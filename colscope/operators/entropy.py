@@ -139,17 +139,25 @@ def entropy_numeric(df: DataFrame, columns: list[str], bins: int = ENTROPY_BINS)
     # per column: the lower bound, and the bin width when bins are equal (null for unit bins)
     lows = [F.col(f"lo{i}") for i in range(len(columns))]
     ranges = [F.col(f"hi{i}") - lo for i, lo in enumerate(lows)]
-    widths = [F.when(r > bins, r / F.lit(float(bins))) for r in ranges]
+    # no equal bins exist for an infinite range: such a column has no score
+    endless = [F.isnan(r) | (r == F.lit(float("inf"))) for r in ranges]
+    widths = [
+        F.when(e, F.lit(float("nan"))).when(r > bins, r / F.lit(float(bins))) for r, e in zip(ranges, endless)
+    ]
     found = _bounds(df, values)
     stacked = _stacked(
         df, values, lo=found.select(F.array(*lows)).scalar(), width=found.select(F.array(*widths)).scalar()
     ).selectExpr("pos", "v - lo[pos] AS above", "width[pos] AS width")
     # equal bins are numbered below zero, which tells the two kinds apart after counting
-    unit = f"IF(width IS NULL, floor(above), least(floor(above / width), {bins - 1}) - {bins})"
+    unit = (
+        f"CASE WHEN width IS NULL THEN floor(above) WHEN isnan(width) THEN -{10 * bins}"
+        f" ELSE least(floor(above / width), {bins - 1}) - {bins} END"
+    )
     counts = _number_counts(stacked, len(columns), unit)
     sums = _sums(counts, "pos", extra=(F.min("v").alias("first"), F.max("v").alias("last")))
     # the largest value always fills the last unit bin, so that bin tells the number of classes
-    k = F.when(F.col("first") < 0, F.lit(bins)).otherwise(F.coalesce(F.col("last") + 1, F.lit(0)))
+    none = F.lit(None).cast("bigint")
+    k = F.when(F.col("first") < -bins, none).when(F.col("first") < 0, F.lit(bins)).otherwise(F.coalesce(F.col("last") + 1, F.lit(0)))
     return _result(sums, columns, "numeric", k, normalised_entropy(F.col("n"), F.col("clogc"), k))
 
 

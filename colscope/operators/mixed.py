@@ -26,9 +26,12 @@ GROUP_SIZE = 4_096
 
 def conditional_proba(pairs: DataFrame) -> DataFrame:
     """``ci, vi, cj, vj, p`` from pair counts; for each (ci, vi, cj) the p add up to one."""
-    w = Window.partitionBy("ci", "cj", "vi")
-    return pairs.select(
-        "ci", "vi", "cj", "vj", (F.col("count") / F.sum("count").over(w)).alias("p")
+    # summed before the shuffle and joined back: no task needs all partners of a frequent value
+    totals = pairs.groupBy("ci", "cj", "vi").agg(F.sum("count").alias("_total"))
+    totals = totals.select(*[F.col(c).alias(f"_{c}") for c in ("ci", "cj", "vi")], "_total")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("ci", "cj", "vi")]
+    return pairs.join(totals, reduce(and_, same)).select(
+        "ci", "vi", "cj", "vj", (F.col("count") / F.col("_total")).alias("p")
     )
 
 
@@ -51,8 +54,9 @@ def _sliced(shares: DataFrame) -> DataFrame:
     Each value is sent to the s cells of its slice. Two values meet in the cell of their two slices;
     ``_pairs_of`` skips the other cells two values of one slice share.
     """
-    size = F.count("*").over(Window.partitionBy("ci", "cj", "vj"))
-    out = shares.withColumn("slices", F.ceil(size / F.lit(GROUP_SIZE)).cast("int"))
+    sizes = shares.groupBy("ci", "cj", "vj").agg(F.ceil(F.count("*") / F.lit(GROUP_SIZE)).cast("int").alias("slices"))
+    sizes = sizes.select(*[F.col(c).alias(f"_{c}") for c in ("ci", "cj", "vj")], "slices")
+    out = shares.join(sizes, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("ci", "cj", "vj")]))
     out = out.withColumn("slice", F.pmod(F.xxhash64("vi"), F.col("slices")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     return out.select(
@@ -137,17 +141,19 @@ class MixedDistance:
 
 
 def mixed_distance(
-    df: DataFrame, quali: list[str], quanti: list[str], bins: int = DISTANCE_BINS
+    df: DataFrame, quali: list[str], quanti: list[str], bins: int = DISTANCE_BINS, store: bool = True
 ) -> MixedDistance:
     """Value distances of the qualitative columns and significances of the quantitative ones.
 
     ``quali`` are indexed columns and ``quanti`` bucketized ones. All take part in every distance.
     The pair counts are the only pass over the table; they are stored (their size depends on the
-    number of values, not rows) and feed both results.
+    number of values, not rows) and feed both results. ``store=False`` suits callers of one result,
+    who then have nothing to release.
     """
     columns = [*quali, *quanti]
     require_present(df, columns)
-    pairs = pair_counts(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = pair_counts(df, columns)
+    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK) if store else pairs
     proba = conditional_proba(pairs)
     quali_p = proba.where(F.col("ci").isin(quali))
     quanti_p = proba.where(F.col("ci").isin(quanti))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.columns import dtype, is_numeric, is_text, present, ref, require_present, rows_of
 from colscope.constants import DROP_BELOW, FILL_BELOW, FILL_NUMBER, NULL_TERM
@@ -47,6 +48,19 @@ def null_profile(
     return rows_of(df.agg(*aggs), structs)
 
 
+def filled_type(t: T.DataType, fill: float) -> T.DataType:
+    """The column's type, widened where it cannot hold the fill."""
+    if isinstance(t, T.DecimalType):
+        digits = max(len(str(int(abs(fill)))), t.precision - t.scale)
+        return T.DecimalType(min(digits + t.scale, 38), t.scale)
+    if isinstance(t, T.IntegralType):
+        if fill != int(fill):
+            return T.DoubleType()
+        bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+        return next(n() for n, b in bits.items() if b >= bits[type(t)] and -(2**b) <= fill < 2**b)
+    return t
+
+
 @dataclass(frozen=True)
 class NullPlan:
     """What the null policy decided; applying it needs no further pass."""
@@ -56,6 +70,8 @@ class NullPlan:
     required: list[str] = field(default_factory=list)
 
     def apply(self, df: DataFrame, fill_text: str = NULL_TERM, fill_number: float = FILL_NUMBER) -> DataFrame:
+        """The table without nulls, as planned. A numeric column whose type is too narrow for
+        ``fill_number`` comes out in the next type that holds it."""
         out = df.drop(*[c for c in self.dropped if c in df.columns])
         text = [c for c in self.filled if is_text(dtype(df, c))]
         number = [c for c in self.filled if is_numeric(dtype(df, c))]
@@ -70,10 +86,11 @@ class NullPlan:
         if not (text or number):
             return out
         fills = {c: F.lit(fill_text) for c in text}
-        fills |= {c: F.lit(fill_number).cast(dtype(df, c)) for c in number}
+        wide = {c: filled_type(dtype(df, c), fill_number) for c in number}
+        fills |= {c: F.lit(fill_number).cast(wide[c]) for c in number}
         return out.select(
             *[
-                F.coalesce(present(ref(f.name), f.dataType), fills[f.name]).alias(f.name, metadata=f.metadata)
+                F.coalesce(present(ref(f.name), f.dataType).cast(wide.get(f.name, f.dataType)), fills[f.name]).alias(f.name, metadata=f.metadata)
                 if f.name in fills
                 else ref(f.name)
                 for f in out.schema.fields
@@ -93,9 +110,11 @@ def fit_null_policy(
     return NullPlan(by["drop"], by["fill"], by["drop_rows"])
 
 
-def null_policy(df: DataFrame, **options) -> DataFrame:
+def null_policy(
+    df: DataFrame, fill_text: str = NULL_TERM, fill_number: float = FILL_NUMBER, **options
+) -> DataFrame:
     """Fit the policy and apply it to the same table."""
-    return fit_null_policy(df, **options).apply(df)
+    return fit_null_policy(df, **options).apply(df, fill_text, fill_number)
 
 
 def fill_by_role(df: DataFrame, quali: list[str], quanti: list[str]) -> DataFrame:

@@ -3,39 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colscope.columns import dtype, is_term_array, is_time, ref, split_by_role
-from colscope.constants import MAX_CATEGORIES, TOP_TERMS
+from colscope.constants import NULL_TERM, OTHER_TERM, TOP_TERMS
 from colscope.functions.arrays import array_first_term, array_indicators, indicator_names
 from colscope.functions.dates import date_bucketize
-from colscope.functions.typing import cast_by_role, date_to_long, whitelist
+from colscope.functions.typing import cast_by_role, date_to_long
 from colscope.operators.aggregates import terms_topk
-from colscope.operators.encode import cap_terms, feature_stages, string_index
+from colscope.operators.encode import cap_terms, feature_stages, index_wide, string_index, without_nan
 from colscope.operators.mixed import MixedDistance, mixed_distance
 from colscope.operators.nulls import NullPlan, fill_by_role, fit_null_policy
 from colscope.operators.relations import column_relations
 
 
-def index_for_relations(df: DataFrame, entries: Mapping[str, Mapping]) -> tuple[DataFrame, list[str]]:
+def index_for_relations(
+    df: DataFrame, entries: Mapping[str, Mapping], max_categories: int | None = None
+) -> tuple[DataFrame, list[str]]:
     """Cast text columns by role, bucket dates, fill and index; also names the encoded columns.
 
-    A qualitative column with more categories than a tree may split on keeps its leading terms, and
-    the others become the text ``null``, as for a column whose allowed values are listed.
+    All categories are kept. A caller who wants at most ``max_categories`` of them gets the leading ones,
+    and the others become ``others``; missing values are ``null`` and count as a category.
     """
     typed = cast_by_role(df, entries)
     dated = date_bucketize(typed, [c for c in typed.columns if c.endswith("_date")])
     quali = [c for c in dated.columns if c.endswith("_quali")]
     quanti = [c for c in dated.columns if c.endswith("_quanti")]
     filled = fill_by_role(dated, quali, quanti)
-    capped = cap_terms(filled, quali, MAX_CATEGORIES - 1)
+    capped = cap_terms(filled, quali, max_categories - 1) if max_categories else {}
     if capped:
         filled = filled.select(
             *[
-                whitelist(ref(f.name), capped[f.name]).alias(f.name, metadata=f.metadata)
+                F.when(ref(f.name).isin([*capped[f.name], NULL_TERM]), ref(f.name))
+                .otherwise(F.lit(OTHER_TERM))
+                .alias(f.name, metadata=f.metadata)
                 if f.name in capped
                 else ref(f.name)
                 for f in filled.schema.fields
@@ -47,10 +53,14 @@ def index_for_relations(df: DataFrame, entries: Mapping[str, Mapping]) -> tuple[
 
 
 def analyse_relations(
-    df: DataFrame, entries: Mapping[str, Mapping], labels: list[str] | None = None, **params
+    df: DataFrame,
+    entries: Mapping[str, Mapping],
+    labels: list[str] | None = None,
+    max_categories: int | None = None,
+    **params,
 ) -> DataFrame:
     """Importance of every column for every other one, from a table of text columns and its catalog."""
-    indexed, names = index_for_relations(df, entries)
+    indexed, names = index_for_relations(df, entries, max_categories)
     return column_relations(indexed, names, labels, **params)
 
 
@@ -64,6 +74,7 @@ class MixedFeatures:
     quali: list[str]
     quanti: list[str]
     multi: list[str]
+    left_out: list[str] = field(default_factory=list)
 
     @property
     def index_columns(self) -> list[str]:
@@ -87,10 +98,24 @@ def prepare_mixed(
 
     Null policy; array columns to one term, or to indicators where the catalog calls them multi-valued;
     timestamps to numbers; then indexes, one-hot slots, bins and the scaled feature vector. Columns the
-    null policy drops take no further part. ``keep`` names columns carried along unused.
+    null policy drops take no further part, nor do columns the catalog calls ``other`` or ``coordinates``.
+    Dates count as their midnight and booleans as text; ``left_out`` lists columns of any other type.
+    ``keep`` names columns carried along unused.
     """
     entries = entries or {}
     keep = keep or []
+    apart = [c for c in df.columns if c not in keep and entries.get(c, {}).get("type") in ("other", "coordinates")]
+    df = df.drop(*apart)
+    df = df.select(
+        *[
+            ref(f.name).cast("timestamp_ntz").alias(f.name)
+            if isinstance(f.dataType, T.DateType) and f.name not in keep
+            else ref(f.name).cast("string").alias(f.name)
+            if isinstance(f.dataType, T.BooleanType) and f.name not in keep
+            else ref(f.name)
+            for f in df.schema.fields
+        ]
+    )
     used = [c for c in df.columns if c not in keep]
     plan = fit_null_policy(df, used)
     work = plan.apply(df)
@@ -123,9 +148,12 @@ def prepare_mixed(
         e = entries.get(c, {})
         if e.get("min") is not None and e.get("max") is not None:
             bounds[out] = (e["min"], e["max"])
-    model = Pipeline(stages=feature_stages(work, quali, quanti, multi, bounds)).fit(work)
+    left_out = [*apart, *[c for c in used if c not in quali and c not in quanti and c not in arrays and not is_time(dtype(work, c))]]
+    work = without_nan(work, quanti)
+    work, _, indexers = index_wide(work, quali)
+    model = Pipeline(stages=feature_stages(work, quali, quanti, multi, bounds, indexers=indexers)).fit(work)
     names = [
         *keep, "features", *[f"{c}-index" for c in quali], *[f"{c}-bucketized" for c in quanti],
     ]
     frame = model.transform(work).select(*[ref(n) for n in names])
-    return MixedFeatures(frame, model, plan, quali, quanti, multi)
+    return MixedFeatures(frame, model, plan, quali, quanti, multi, left_out)

@@ -16,10 +16,10 @@ from colscope.sources.tables import read_csv, read_table
 _ORDER_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 
 
-def _catalog_of(df: DataFrame) -> DataFrame:
+def _catalog_of(df: DataFrame, terms: int = 30) -> DataFrame:
     """Describe a table, write the JSON document, and read it back as a catalog."""
     path = scratch_path(df.sparkSession, "catalog")
-    cat.catalog_document(df).write.text(path)
+    cat.catalog_document(df, terms=terms).write.text(path)
     return cat.read_catalog(df.sparkSession, path)
 
 
@@ -103,11 +103,29 @@ def catalog_scan(spark, sf):
  FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"""
             for c in ("o_orderstatus", "o_orderpriority")
         ]
+        + [
+            """SELECT 'p_name' AS "column", p_name AS term, CAST(count(*) AS BIGINT) AS "count"
+ FROM part WHERE p_name IS NOT NULL GROUP BY p_name"""
+        ]
     ),
 )
 def catalog_values(spark, sf):
     c = _orders_catalog(spark, sf)
-    return cat.col_values(c, "o_orderstatus").unionByName(cat.col_values(c, "o_orderpriority"))
+    parts = _catalog_of(table(spark, sf, "part").select("p_name", "p_size"), terms=10_000)
+    found = cat.col_values(c, "o_orderstatus").unionByName(cat.col_values(c, "o_orderpriority"))
+    return found.unionByName(cat.col_values(parts, "p_name"))
+
+
+@query(
+    "flow_from_catalog",
+    """SELECT o_orderstatus AS o_orderstatus_quali, o_totalprice AS o_totalprice_quanti,
+ CAST(o_orderdate AS DATE) AS o_orderdate_date, o_orderpriority AS o_orderpriority_quali,
+ CAST(o_custkey AS DOUBLE) AS o_custkey_quanti FROM orders""",
+)
+def flow_from_catalog(spark, sf):
+    """A catalog written from the table casts the same table."""
+    df = table(spark, sf, "orders").select(*_ORDER_COLS)
+    return cast_by_role(df, cat.entries(_orders_catalog(spark, sf)))
 
 
 _PATHS = [("o_totalprice", "metrics.maxValue"), ("o_custkey", "metrics.valuesCount"), ("o_orderdate", "label")]

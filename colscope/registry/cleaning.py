@@ -8,6 +8,7 @@ from colscope.functions.arrays import array_first_term, array_indicators
 from colscope.functions.dates import date_bucketize, date_span
 from colscope.operators.aggregates import terms_topk
 from colscope.operators.encode import fit_string_index
+from colscope.operators.entropy import entropy_numeric
 from colscope.operators.nulls import fill_by_role, null_policy, null_profile
 from colscope.registry import query, table
 
@@ -211,3 +212,27 @@ def date_bucket_week(spark, sf):
 @query("date_bucket_day", _shrunk_sql(200, "CAST(dayofyear(d) AS BIGINT) AS d_day_quanti"))
 def date_bucket_day(spark, sf):
     return date_bucketize(_shrunk(spark, sf, 200), ["d"]).drop("d")
+
+
+@query(
+    "null_policy_types",
+    """SELECT l_orderkey, CAST(coalesce(CASE WHEN l_linenumber <= 4 THEN l_linenumber END, 2809) AS SMALLINT) AS tiny,
+ CAST(coalesce(CASE WHEN l_linenumber <= 4 THEN l_tax END, 2809) AS DOUBLE) AS small_decimal,
+ coalesce(CASE WHEN l_linenumber <= 4 THEN l_returnflag END, 'none') AS flag FROM lineitem""",
+)
+def null_policy_types(spark, sf):
+    """Types too narrow for the fill are widened; the fills are the caller's."""
+    df = table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey", "CASE WHEN l_linenumber <= 4 THEN CAST(l_linenumber AS TINYINT) END AS tiny",
+        "CASE WHEN l_linenumber <= 4 THEN CAST(l_tax AS DECIMAL(3,2)) END AS small_decimal",
+        "CASE WHEN l_linenumber <= 4 THEN l_returnflag END AS flag",
+    )
+    out = null_policy(df, fill_text="none", fill_number=2809)
+    return out.withColumn("small_decimal", F.col("small_decimal").cast("double"))
+
+
+@query("entropy_endless", "SELECT 'v' AS \"column\", CAST(count(*) AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS entropy FROM lineitem")
+def entropy_endless(spark, sf):
+    """A column with an infinite value has no equal bins and no score."""
+    df = table(spark, sf, "lineitem").selectExpr("CASE WHEN l_linenumber = 7 THEN double('Infinity') ELSE l_quantity END AS v")
+    return entropy_numeric(df, ["v"]).select("column", "n", "entropy")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colscope.operators import encode
 from colscope.operators.aggregates import pair_counts
-from colscope.operators.clusters import mixed_clusters
+from colscope.operators.clusters import fit_mixed_clusters
 from colscope.operators.mixed import conditional_proba, mixed_distance, significance, value_distance
 from colscope.registry import query, table
 
@@ -119,12 +119,55 @@ def significance_query(spark, sf):
     f"""SELECT * FROM ({_distance_sql([*_INDEX, *_BINS], _ENCODED)}) WHERE "column" LIKE '%-index'""",
 )
 def mixed_distance_query(spark, sf):
-    return _rounded_distance(mixed_distance(_encoded(spark, sf), _INDEX, _BINS).cooccurrences)
+    return _rounded_distance(mixed_distance(_encoded(spark, sf), _INDEX, _BINS, store=False).cooccurrences)
 
 
-@query("mixed_kmeans")
+@query(
+    "mixed_kmeans",
+    """SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS assigned,
+ CAST(0 AS BIGINT) AS misplaced FROM lineitem GROUP BY ALL""",
+)
 def mixed_kmeans(spark, sf):
-    out = mixed_clusters(_encoded(spark, sf), _INDEX, ["l_quantity", "l_extendedprice"])
-    return out.select(
-        *_INDEX, "l_quantity", "l_extendedprice", "cluster", F.round("cluster_distance", 6).alias("cluster_distance")
+    """Every row is in one of the clusters, and no other cluster's centre is nearer to it; the distances to
+    the centres are worked out a second time here, from the fitted means and shares."""
+    df = _encoded(spark, sf)
+    quanti = ["l_quantity", "l_extendedprice"]
+    model = fit_mixed_clusters(df, _INDEX, quanti)
+    rows = model.assign(df)
+    every = []
+    for c in model.centres:
+        parts = []
+        for name, w, m in zip(quanti, model.weights, c.means):
+            lo, hi = model.bounds[name]
+            parts.append(F.pow(F.lit(w) * ((F.col(name) - lo) / (hi - lo) - F.lit(m)), 2))
+        for name, distances, shares in zip(_INDEX, model.tables, c.shares):
+            cost = F.lit(0.0)
+            for i, row in enumerate(distances):
+                cost = F.when(F.col(f"`{name}`") == i, F.lit(sum(s * d for s, d in zip(shares, row)) ** 2)).otherwise(cost)
+            parts.append(cost)
+        every.append(sum(parts[1:], parts[0]))
+    off = F.abs(F.least(*every) - F.col("cluster_distance")) > 1e-9
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("cluster").between(0, len(model.centres) - 1)).alias("assigned"),
+        F.count_if(off).alias("misplaced"),
+    )
+
+
+_GAP_TEXT = """(SELECT "l_returnflag-index", "l_linestatus-index", "l_extendedprice-bucketized",
+ CASE WHEN "line" <> 7 THEN "l_quantity-bucketized" END AS "l_quantity-bucketized" FROM
+ (SELECT a.i AS "l_returnflag-index", b.i AS "l_linestatus-index", l_linenumber AS "line",
+ {q} AS "l_quantity-bucketized", {p} AS "l_extendedprice-bucketized"
+ FROM lineitem JOIN {a} a ON l_returnflag = a.label JOIN {b} b ON l_linestatus = b.label))""".format(
+    q=_bin_sql("l_quantity").replace("(SELECT min(l_quantity) FROM lineitem)", "(SELECT min(l_quantity) FROM lineitem WHERE l_linenumber <> 7)").replace("(SELECT max(l_quantity) FROM lineitem)", "(SELECT max(l_quantity) FROM lineitem WHERE l_linenumber <> 7)"),
+    p=_bin_sql("l_extendedprice"), a=_code_sql("l_returnflag"), b=_code_sql("l_linestatus"),
+)
+
+
+@query("bucketize_gaps", f"""SELECT "l_quantity-bucketized" AS bin, CAST(count(*) AS BIGINT) AS n FROM {_GAP_TEXT} GROUP BY 1""")
+def bucketize_gaps(spark, sf):
+    """A missing number has no bin, whether it is NaN or null."""
+    df = table(spark, sf, "lineitem").selectExpr(
+        "CASE WHEN l_linenumber <> 7 THEN l_quantity WHEN l_orderkey % 2 = 0 THEN double('NaN') END AS l_quantity"
     )
+    return encode.bucketize(df, ["l_quantity"]).groupBy(F.col("`l_quantity-bucketized`").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -57,7 +57,10 @@ def from_entries(raw: DataFrame) -> DataFrame:
         "column",
         "entry",
         kind.alias("type"),
-        _at("format").alias("format"),
+        # a mask writes days and years in capitals
+        F.coalesce(
+            _at("format"), F.when(kind == "date", F.translate(_at("typeSettings.mask"), "DY", "dy"))
+        ).alias("format"),
         _at("metrics.minValue").try_cast("double").alias("min_value"),
         _at("metrics.maxValue").try_cast("double").alias("max_value"),
         _at("metrics.avg").try_cast("double").alias("avg"),
@@ -257,8 +260,10 @@ def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def catalog_document(df: DataFrame, columns: list[str] | None = None, terms: int = 30) -> DataFrame:
     """One row, one text column: the JSON document describing the table's columns.
 
-    Built from ``build_catalog`` and the leading terms of each qualitative column, so writing it with
-    ``df.write.text`` gives a file that ``read_catalog`` accepts.
+    Built from ``build_catalog`` and the terms of each qualitative column, so writing it with
+    ``df.write.text`` gives a file that ``read_catalog`` accepts. A column of at most ``terms`` different
+    values lists them all as its allowed ``values``; of any other the leading ones are written as
+    ``topValues``, which no reader takes for a list of what is allowed.
     """
     cols = columns if columns is not None else df.columns
     metrics = build_catalog(df, cols)
@@ -271,9 +276,11 @@ def catalog_document(df: DataFrame, columns: list[str] | None = None, terms: int
         listed = F.transform("top", lambda t: F.create_map(t["term"], t["count"]))
     else:
         listed = F.lit(None).cast("array<map<string,bigint>>")
+    complete = F.col("values_count") <= F.lit(terms)
     entry = F.struct(
         F.col("type"),
-        listed.alias("values"),
+        F.when(complete, listed).alias("values"),
+        F.when(~complete, listed).alias("topValues"),
         F.struct(
             F.col("min_value").alias("minValue"), F.col("max_value").alias("maxValue"), F.col("avg"),
             F.col("empty_lines").alias("emptyLines"), F.col("values_count").alias("valuesCount"),

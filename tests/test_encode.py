@@ -81,9 +81,9 @@ def test_bucketize(spark):
         encode.bucketize(df, ["x"], {"k": (1, 2)})
 
 
-def test_missing_numbers_get_a_bin_of_their_own(spark):
+def test_missing_numbers_have_no_bin(spark):
     df = spark.createDataFrame([(0.0,), (10.0,), (float("nan"),)], "x double")
-    assert [r["x-bucketized"] for r in encode.bucketize(df, ["x"]).collect()] == [0.0, 9.0, 10.0]
+    assert [r["x-bucketized"] for r in encode.bucketize(df, ["x"]).collect()] == [0.0, 9.0, None]
 
 
 def test_scaling(spark):

@@ -18,9 +18,12 @@ def test_relations_from_text(spark):
         "funded": {"type": "date", "format": "dd-MM-yyyy"},
     }
     indexed, names = index_for_relations(df, entries)
-    # the month bucket takes part, and the 40 cities are cut to what a tree can split on
+    # the month bucket takes part, and all 40 cities are kept
     assert names == ["amount_quanti", "city_quali_index", "kind_quali_index", "funded_date_month_quali_index"]
-    assert indexed.select("city_quali").distinct().count() <= 30
+    assert indexed.select("city_quali").distinct().count() == 40
+    fewer, _ = index_for_relations(df, entries, max_categories=10)
+    assert fewer.select("city_quali").distinct().count() == 10
+    assert fewer.where("city_quali = 'null'").count() == 0
     out = analyse_relations(df, entries, labels=["kind_quali_index"], numTrees=10).collect()
     assert min(out, key=lambda r: r["rank"])["feature"] in ("amount_quanti", "funded_date_month_quali_index")
 
@@ -72,3 +75,39 @@ def test_row_functions_accept_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.read.parquet(str(tmp_path / "out")).first()
     assert (r["s_quali"], str(r["d_date"]), r["t-a"], r["t-str"]) == ("x", "2020-02-01", True, "a")
+
+
+def test_relations_with_missing_values(spark):
+    data = [
+        (None if i % 7 == 0 else f"c{i % 3}", None if i % 5 == 0 else str(i % 2 * 100.0), ["bad", None, f"{i % 28 + 1:02d}/01/2001"][i % 3], i % 2 and "rich" or "poor", "x")
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(data, "city string, amount string, paid string, kind string, place string")
+    entries = {
+        "city": {"type": "terms"}, "amount": {"type": "number"}, "kind": {"type": "terms"},
+        "paid": {"type": "date", "format": "dd/MM/yyyy"}, "place": {"type": "coordinates"},
+    }
+    out = analyse_relations(df, entries, labels=["kind_quali_index", "amount_quanti"], numTrees=10).collect()
+    top = {r["label"]: r["feature"] for r in out if r["rank"] == 1}
+    assert top == {"kind_quali_index": "amount_quanti", "amount_quanti": "kind_quali_index"}
+    for label in top:
+        assert sum(r["importance"] for r in out if r["label"] == label) == pytest.approx(1)
+
+
+def test_dates_booleans_and_roles_in_mixed(spark):
+    data = [(i % 2 == 0, f"2024-01-{i % 28 + 1:02d}", "p", float("nan") if i % 20 == 0 else float(i), (i,)) for i in range(60)]
+    df = spark.createDataFrame(data, "yes boolean, day string, skip string, v double, s struct<a:int>")
+    df = df.withColumn("day", F.to_date("day"))
+    out = prepare_mixed(df, {"skip": {"type": "other"}})
+    assert out.quali == ["yes"] and out.quanti == ["v", "day_int_index"] and sorted(out.left_out) == ["s", "skip"]
+    assert out.frame.agg(F.max("v-bucketized")).first()[0] <= 9
+
+
+def test_more_labels_than_a_model_holds(spark):
+    from colscope.operators import encode
+
+    df = spark.range(3000).selectExpr("CAST(id % 1500 AS STRING) AS a", "CAST(id % 3 AS STRING) AS b", "IF(id % 50 = 0, NULL, CAST(id % 700 AS STRING)) AS c")
+    for how in ("skip", "keep"):
+        narrow = encode.string_index(df, ["a", "b", "c"], handle_invalid=how)
+        wide = encode.string_index(df, ["a", "b", "c"], handle_invalid=how, max_labels=500)
+        assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, wide.collect()))
