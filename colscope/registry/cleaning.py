@@ -11,6 +11,8 @@ from colscope.operators.encode import fit_string_index
 from colscope.operators.entropy import entropy_numeric
 from colscope.operators.nulls import fill_by_role, null_policy, null_profile
 from colscope.registry import query, table
+from colscope.session import scratch_path
+from colscope import streaming
 
 # Columns with missing values in each band of the policy, made from other columns of the same row.
 _GAPS = {
@@ -236,3 +238,22 @@ def entropy_endless(spark, sf):
     """A column with an infinite value has no equal bins and no score."""
     df = table(spark, sf, "lineitem").selectExpr("CASE WHEN l_linenumber = 7 THEN double('Infinity') ELSE l_quantity END AS v")
     return entropy_numeric(df, ["v"]).select("column", "n", "entropy")
+
+
+@query(
+    "stream_row_functions",
+    """SELECT event_id, epoch_us(ts) // 1000 AS ts_ms,
+ CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'others' END AS "kinds-str",
+ event_type = 'click' AS "kinds-click" FROM events""",
+)
+def stream_row_functions(spark, sf):
+    """The row-wise functions on a stream of the events, written once it has caught up, and read back."""
+    path = scratch_path(spark, "arrivals")  # a stream reads a folder, and a table may be a single file
+    table(spark, sf, "events").write.parquet(path)
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = streaming.date_to_long(events, "ts", "ts_ms").withColumn("kinds", F.array("event_type"))
+    out = streaming.array_first_term(streaming.array_indicators(events, "kinds", ["click"]), "kinds", ["click", "view"])
+    target = scratch_path(spark, "stream")
+    run = out.select("event_id", "ts_ms", "`kinds-str`", "`kinds-click`").writeStream.format("parquet")
+    run.option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start(target).awaitTermination()
+    return spark.read.parquet(target)

@@ -50,8 +50,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below a folder of this application that goes when it ends."""
+    sc = spark.sparkContext
+    base = f"{scratch_root(spark)}/{sc.applicationId}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(base)
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+    return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
 def ensure_checkpointing(spark: SparkSession) -> None:
