@@ -31,10 +31,17 @@ def months_between(a: Column, b: Column) -> Column:
     return _ordered(a, b, months.cast("bigint"))
 
 
+def _whole(elapsed: Column, unit: int) -> tuple[Column, Column]:
+    """Whole units in a count of microseconds, and whether some are left; exact beyond 2**53 too."""
+    rest = F.pmod(elapsed, F.lit(unit).cast("bigint"))
+    return F.round((elapsed - rest) / F.lit(unit)).cast("bigint"), rest > 0
+
+
 def days_between(a: Column, b: Column, t: T.DataType) -> Column:
     """Elapsed days, a started day counted as a whole one."""
     elapsed = epoch_micros(b, t) - epoch_micros(a, t)
-    return _ordered(a, b, F.ceil(elapsed / F.lit(_DAY)).cast("bigint"))
+    days, more = _whole(elapsed, _DAY)
+    return _ordered(a, b, days + more.cast("bigint"))
 
 
 def weeks_between(a: Column, b: Column, t: T.DataType) -> Column:
@@ -45,7 +52,7 @@ def weeks_between(a: Column, b: Column, t: T.DataType) -> Column:
 def seconds_between(a: Column, b: Column, t: T.DataType) -> Column:
     """Whole elapsed seconds."""
     elapsed = epoch_micros(b, t) - epoch_micros(a, t)
-    return _ordered(a, b, F.floor(elapsed / F.lit(1_000_000)).cast("bigint"))
+    return _ordered(a, b, _whole(elapsed, 1_000_000)[0])
 
 
 def spans(a: Column, b: Column, t: T.DataType) -> dict[str, Column]:

@@ -47,6 +47,7 @@ class MixedClusters:
     tables: tuple[tuple[tuple[float, ...], ...], ...]
     centres: tuple[Centre, ...]
     rounds: int
+    converged: bool = False
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Add ``cluster`` and ``cluster_distance``."""
@@ -120,7 +121,8 @@ def fit_mixed_clusters(
     with its ``<col>-bucketized`` one, from which its significance is measured.
 
     Each round writes the current centres into the plan over the stored columns, so plans do not
-    grow from round to round. What reaches the driver per round is the centres.
+    grow from round to round. What reaches the driver per round is the centres. ``converged`` tells whether
+    the centres had come to rest before ``max_rounds``.
     """
     bins = [f"{c}-bucketized" for c in quanti]
     require_present(df, [*quali, *quanti, *bins])
@@ -157,7 +159,7 @@ def fit_mixed_clusters(
             )
             for r in _seeds(base, k, seed)
         )
-        rounds = 0
+        rounds, done = 0, not centres
         while rounds < max_rounds and centres:
             moved = _move(base, model, centres, numbers, values, sizes)
             rounds += 1
@@ -167,7 +169,7 @@ def fit_mixed_clusters(
                 break
     finally:
         base.unpersist()
-    return MixedClusters(quali, quanti, bounds, model.weights, tables, centres, rounds)
+    return MixedClusters(quali, quanti, bounds, model.weights, tables, centres, rounds, done)
 
 
 def _move(base, model, centres, numbers, values, sizes) -> tuple[Centre, ...]:

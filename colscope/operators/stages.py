@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from colscope.functions.arrays import array_first_term, array_indicators, indicator_names
 from colscope.functions.dates import DateBucket, apply_date_buckets, fit_date_buckets
 from colscope.functions.typing import cast_by_role, date_to_long
+from colscope.constants import FILL_NUMBER, NULL_TERM
 from colscope.operators.encode import fit_string_index
 from colscope.operators.nulls import NullPlan, fit_null_policy
 
@@ -97,11 +98,14 @@ class NullPolicy(Estimator, _Saved):
 
     dropBelow = _param("dropBelow", "columns with a smaller non-null share go", TypeConverters.toFloat)
     fillBelow = _param("fillBelow", "columns with a smaller non-null share are filled", TypeConverters.toFloat)
+    fillText = _param("fillText", "what missing texts become", TypeConverters.toString)
+    fillNumber = _param("fillNumber", "what missing numbers become", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, *, dropBelow: float = 0.5, fillBelow: float = 0.8):
+    def __init__(self, *, dropBelow: float = 0.5, fillBelow: float = 0.8, fillText: str = NULL_TERM,
+                 fillNumber: float = FILL_NUMBER):
         super().__init__()
-        self._set(**{"dropBelow": dropBelow, "fillBelow": fillBelow})
+        self._set(**{"dropBelow": dropBelow, "fillBelow": fillBelow, "fillText": fillText, "fillNumber": fillNumber})
 
     def _fit(self, dataset: DataFrame) -> NullPolicyModel:
         plan = fit_null_policy(
@@ -109,17 +113,22 @@ class NullPolicy(Estimator, _Saved):
             drop_below=self.getOrDefault(self.dropBelow),
             fill_below=self.getOrDefault(self.fillBelow),
         )
-        return NullPolicyModel(dropped=plan.dropped, filled=plan.filled, required=plan.required)
+        return NullPolicyModel(
+            dropped=plan.dropped, filled=plan.filled, required=plan.required,
+            fillText=self.getOrDefault(self.fillText), fillNumber=self.getOrDefault(self.fillNumber),
+        )
 
 
 class NullPolicyModel(Model, _Saved):
     dropped = _param("dropped", "columns removed", TypeConverters.toListString)
     filled = _param("filled", "columns whose nulls are filled", TypeConverters.toListString)
     required = _param("required", "columns whose null rows are removed", TypeConverters.toListString)
+    fillText = _param("fillText", "what missing texts become", TypeConverters.toString)
+    fillNumber = _param("fillNumber", "what missing numbers become", TypeConverters.toFloat)
 
     @keyword_only
     def __init__(self, *, dropped: list[str] | None = None, filled: list[str] | None = None,
-                 required: list[str] | None = None):
+                 required: list[str] | None = None, fillText: str = NULL_TERM, fillNumber: float = FILL_NUMBER):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -127,7 +136,7 @@ class NullPolicyModel(Model, _Saved):
         return NullPlan(*[self.getOrDefault(p) for p in (self.dropped, self.filled, self.required)])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return self.plan().apply(dataset)
+        return self.plan().apply(dataset, self.getOrDefault(self.fillText), self.getOrDefault(self.fillNumber))
 
 
 class DateBuckets(Estimator, HasInputCols, _Saved):

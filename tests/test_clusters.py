@@ -28,7 +28,7 @@ def distance(model, centre, row, lo, hi):
 
 def test_a_fitted_model_is_a_fixed_point(encoded):
     model = fit_mixed_clusters(encoded, ["a-index", "b-index"], ["n"], max_rounds=50)
-    assert len(model.centres) == 3 and model.rounds < 50
+    assert len(model.centres) == 3 and model.rounds < 50 and model.converged
     rows = model.assign(encoded).collect()
     lo, hi = model.bounds["n"]
     members = {}

@@ -56,3 +56,9 @@ def test_null_policy_thresholds_are_parameters(spark):
     df = spark.range(10).select(F.when(F.col("id") < 7, F.col("id")).alias("x"))
     assert NullPolicy(dropBelow=0.9).fit(df).transform(df).columns == []
     assert NullPolicy(fillBelow=0.6).fit(df).transform(df).count() == 7
+
+
+def test_null_policy_fills_are_the_callers(spark):
+    df = spark.createDataFrame([("x", 1)] * 6 + [(None, None)] * 4, "s string, n int")
+    out = NullPolicy(fillText="none", fillNumber=-1.0).fit(df).transform(df)
+    assert {tuple(r) for r in out.collect()} == {("x", 1), ("none", -1)}
