@@ -22,10 +22,50 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op6_quality_rules")
+@query(
+    "op6_quality_rules",
+    r"""
+    WITH w AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), g AS (
+        SELECT id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+        FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+    ), twice AS (
+        SELECT id, g FROM g GROUP BY id, g HAVING count(*) > 1
+    ), covered AS (
+        SELECT id, count(DISTINCT p) AS n
+        FROM (SELECT id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN twice USING (id, g)) GROUP BY id
+    ), lines AS (
+        SELECT id, count(*) - count(DISTINCT line) AS n
+        FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM w)
+        WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+    ), f AS (
+        SELECT doc_id, text, CAST(len(words) AS BIGINT) AS n_words,
+               CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+               CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+               CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+               CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words
+        FROM w LEFT JOIN lines USING (id) LEFT JOIN covered USING (id)
+    ), v AS (
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               length(regexp_replace(text, '\P{L}+', '', 'g')) AS letters,
+               length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS capitals
+        FROM f
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > n_words
+                OR 2 * n_dup_lines > len(string_split(text, chr(10))) OR 10 * n_repeat_words > 3 * n_words
+                OR 2 * letters < word_chars OR 2 * capitals > letters
+                OR 10 * len(regexp_extract_all(text, '!')) > n_words
+                OR 10 * len(regexp_extract_all(text, '\p{Nd}')) > 3 * word_chars) AS kept
+    FROM v
+    """,
+)
 def op6_quality_rules(spark, sf_dir):
     found = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", *rules.FIGURES, "base_failed", "kept", "rejected_by")
+    return found.select("doc_id", *rules.FIGURES, "base_failed", "kept")
 
 
 @query(
@@ -69,7 +109,36 @@ def op5_language_id(spark, sf_dir):
     return language.predict(asked, model)
 
 
-@query("op9_ngram_jaccard")
+@query(
+    "op9_ngram_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS shingle
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+        UNION ALL
+        SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) IN (1, 2)
+    ), n AS (
+        SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+    ), p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+        FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+    ), l AS (
+        SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)
+    ), e AS (
+        SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+    ), r AS (
+        SELECT x AS node, y AS other FROM e UNION SELECT r.node, e.y FROM r JOIN e ON r.other = e.x
+    )
+    SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles,
+           CAST(least(w.doc_id, coalesce(min(r.other), w.doc_id)) AS BIGINT) AS component_id
+    FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN r ON r.node = w.doc_id GROUP BY w.doc_id
+    """,
+)
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 

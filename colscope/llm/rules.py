@@ -102,13 +102,13 @@ def text_rules() -> list[Rule]:
     letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
     return [
         Rule("mean_word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)),
-        Rule("symbols", F.col("n_symbols") > n / 10),
-        Rule("duplicate_lines", F.col("n_dup_lines") > 0.5 * F.size(F.split(text, "\n", -1))),
-        Rule("repeated_words", F.col("n_repeat_words") > 0.3 * n),
-        Rule("letters", letters < 0.5 * F.col("word_chars")),
-        Rule("capitals", F.length(F.regexp_replace(text, r"\P{Lu}+", "")) > 0.5 * letters),
-        Rule("shouted", F.regexp_count(text, F.lit(r"!")) > n / 10),
-        Rule("digits", F.regexp_count(text, F.lit(r"\p{Nd}")) > 0.3 * F.col("word_chars")),
+        Rule("symbols", 10 * F.col("n_symbols") > n),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.size(F.split(text, "\n", -1))),
+        Rule("repeated_words", 10 * F.col("n_repeat_words") > 3 * n),
+        Rule("letters", 2 * letters < F.col("word_chars")),
+        Rule("capitals", 2 * F.length(F.regexp_replace(text, r"\P{Lu}+", "")) > letters),
+        Rule("shouted", 10 * F.regexp_count(text, F.lit(r"!")) > n),
+        Rule("digits", 10 * F.regexp_count(text, F.lit(r"\p{Nd}")) > 3 * F.col("word_chars")),
     ]
 
 
