@@ -97,6 +97,27 @@ def value_distance(proba: DataFrame, columns: int) -> DataFrame:
     )
 
 
+def requested_distance(proba: DataFrame, columns: int, pairs: DataFrame) -> DataFrame:
+    """``value_distance`` for the pairs asked for, as ``column, vx, vy`` rows (repeated ones once).
+
+    Shares are looked up by value, so the cost follows the pairs and the values that occur with
+    them, however many values the columns have. A value that never occurs shares nothing.
+    """
+    if columns < 2:
+        raise ValueError("a distance needs at least two columns")
+    asked = pairs.select("column", "vx", "vy").distinct()
+    x = proba.select(F.col("ci").alias("column"), F.col("vi").alias("vx"), "cj", "vj", F.col("p").alias("px"))
+    y = proba.select(F.col("ci").alias("_c"), F.col("vi").alias("_v"), F.col("cj").alias("_cj"), F.col("vj").alias("_vj"), F.col("p").alias("py"))
+    met = asked.join(x, ["column", "vx"]).join(
+        y, (F.col("column") == F.col("_c")) & (F.col("vy") == F.col("_v")) & (F.col("cj") == F.col("_cj")) & (F.col("vj") == F.col("_vj"))
+    )
+    low = met.groupBy("column", "vx", "vy").agg(F.sum(F.least("px", "py")).alias("low"))
+    distance = F.greatest(F.lit(1.0) - F.coalesce("low", F.lit(0.0)) / F.lit(columns - 1), F.lit(0.0))
+    return asked.join(low, ["column", "vx", "vy"], "left").select(
+        "column", "vx", "vy", (distance + 1).alias("cooccurrence"), distance.alias("distance")
+    )
+
+
 def significance(proba: DataFrame, columns: int, bins: int = DISTANCE_BINS) -> DataFrame:
     """``column, significance, significance_raw``: distances (and co-occurrences) of a column's value
     pairs, summed and divided by the number of bin pairs.

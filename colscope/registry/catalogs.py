@@ -116,6 +116,18 @@ def catalog_values(spark, sf):
     return found.unionByName(cat.col_values(parts, "p_name"))
 
 
+@query(
+    "catalog_bounding_box",
+    """SELECT 'place' AS "column", max(c_acctbal) AS "top", CAST(min(c_nationkey) AS DOUBLE) AS "left",
+ min(c_acctbal) AS "bottom", CAST(max(c_nationkey) AS DOUBLE) AS "right" FROM customer""",
+)
+def catalog_bounding_box(spark, sf):
+    """Measured, written to the document and read back."""
+    place = F.struct(F.col("c_acctbal").alias("lat"), F.col("c_nationkey").alias("lon"))
+    found = _catalog_of(table(spark, sf, "customer").select(place.alias("place"), "c_mktsegment"))
+    return found.where(F.col("type") == "coordinates").select("column", "bounding_box.*")
+
+
 @query(
     "flow_from_catalog",
     """SELECT o_orderstatus AS o_orderstatus_quali, o_totalprice AS o_totalprice_quanti,

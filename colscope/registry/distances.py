@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colscope.operators import encode
 from colscope.operators.aggregates import pair_counts
 from colscope.operators.clusters import fit_mixed_clusters
-from colscope.operators.mixed import conditional_proba, mixed_distance, significance, value_distance
+from colscope.operators.mixed import conditional_proba, mixed_distance, requested_distance, significance, value_distance
 from colscope.registry import query, table
 
 _COLS = ["l_returnflag", "l_linestatus", "l_linenumber"]
@@ -71,6 +71,24 @@ def value_distance_query(spark, sf):
     return _rounded_distance(value_distance(proba, len(_COLS)))
 
 
+_WIDE = ["p_brand", "p_type", "p_size"]
+_WIDE_TEXT = "(SELECT p_brand, p_type, CAST(p_size AS VARCHAR) AS p_size FROM part)"
+
+
+@query(
+    "value_distance_wide",
+    f"""SELECT * FROM ({_distance_sql(_WIDE, _WIDE_TEXT)})
+ WHERE "column" = 'p_brand' AND vx = (SELECT min(p_brand) FROM part)""",
+)
+def value_distance_wide(spark, sf):
+    """Distances of the first brand to every other one, asked for as pairs."""
+    part = table(spark, sf, "part").select(*_WIDE)
+    brands = part.select(F.col("p_brand").alias("vy")).distinct()
+    first = part.agg(F.min("p_brand").alias("vx"))
+    pairs = brands.join(F.broadcast(first), F.col("vy") > F.col("vx")).select(F.lit("p_brand").alias("column"), "vx", "vy")
+    return _rounded_distance(requested_distance(conditional_proba(pair_counts(part, _WIDE)), len(_WIDE), pairs))
+
+
 def _bin_sql(c: str) -> str:
     lo, hi = f"(SELECT min({c}) FROM lineitem)", f"(SELECT max({c}) FROM lineitem)"
     edges = [f"CASE WHEN {c} >= {lo} + (({hi} - {lo}) / 10) * {i} THEN 1 ELSE 0 END" for i in range(1, 10)]

@@ -1,7 +1,7 @@
 """The column catalog: one row per data column, read from a JSON document or built from a table.
 
 Layout: ``column, entry, type, format, min_value, max_value, avg, empty_lines, values_count,
-avg_values_count, is_multi, values`` where ``entry`` is the JSON text the row was read from.
+avg_values_count, is_multi, values, bounding_box`` where ``entry`` is the JSON text the row was read from.
 """
 
 from __future__ import annotations
@@ -49,6 +49,16 @@ def _values() -> Column:
     return F.coalesce(F.when(objects, merged).otherwise(listed("values")), listed("array"))
 
 
+def _box() -> Column:
+    """Corners of the places of a ``coordinates`` column, however the document names them."""
+    sides = {"top": "topLeft.lat", "left": "topLeft.lon", "bottom": "bottomRight.lat", "right": "bottomRight.lon"}
+    found = {
+        k: F.coalesce(_at(f"metrics.boundingBox.{k}"), _at(f"metrics.boundingBox.{p}")).try_cast("double")
+        for k, p in sides.items()
+    }
+    return F.when(_at("metrics.boundingBox").isNotNull(), F.struct(*[v.alias(k) for k, v in found.items()]))
+
+
 def from_entries(raw: DataFrame) -> DataFrame:
     """Catalog layout from ``column, entry`` rows."""
     kind = _at("type")
@@ -69,6 +79,7 @@ def from_entries(raw: DataFrame) -> DataFrame:
         _at("metrics.avgValuesCount").try_cast("double").alias("avg_values_count"),
         multi.alias("is_multi"),
         _values().alias("values"),
+        _box().alias("bounding_box"),
     )
 
 
