@@ -53,9 +53,9 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most:
     # the level per weight if this source and all after it were uncapped
     level = (total - before) / rest
     capped = F.col("source_size") * F.lit(float(most)) < level * F.col("weight")
-    first_open = F.min(F.when(~F.col("_capped"), F.struct("_ratio", "source", "_level"))).over(Window.partitionBy())
+    first_open = F.min(F.when(~F.col("_capped"), F.struct("_place", "_level"))).over(Window.partitionBy())
     return (
-        weighed.withColumns({"_level": level, "_capped": capped, "_ratio": F.col("source_size") / F.col("weight")})
+        weighed.withColumns({"_level": level, "_capped": capped, "_place": F.row_number().over(by_ratio)})
         .withColumn("_open", F.coalesce(F.max(F.when(~F.col("_capped"), F.lit(1))).over(Window.partitionBy()), F.lit(0)))
         .withColumn("_at", first_open["_level"])
         .withColumn(

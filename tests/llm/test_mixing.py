@@ -46,11 +46,15 @@ def test_mix_on_awkward_rows(spark):
 
 
 def test_caps_are_shared_out(spark):
-    sizes = {"a": 1, "b": 10, "c": 100_000, "d": 3, "e": 5_000, None: 70}
-    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
-    got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
-    for s, t in targets(sizes).items():
-        assert got[s] == pytest.approx(t)
+    for sizes in (
+        {"a": 1, "b": 10, "c": 100_000, "d": 3, "e": 5_000, None: 70},
+        {"a": 100, "b": 200, "c": 300, "d": 100, "e": 200, None: 300},  # ties
+        {"a": 0, "b": 0}, {None: 5}, {"a": 0, "b": 7},
+    ):
+        df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(df).collect()}
+        for s, t in targets(sizes).items():
+            assert got[s] == pytest.approx(t)
 
 
 def test_highest_quotients_as_one_by_one(spark):
