@@ -3,7 +3,8 @@
 Every source is cut into shards of about equal size and every shard into blocks of ``block_words`` words. A
 mix of as many words as there are takes whole blocks: each source gets as many as its target is worth, by
 Sainte-Lague's rule (blocks go to the highest quotients target / (2k + 1)); its shards share them by
-the same rule; a seeded choice then says which blocks of a shard are taken how often.
+the same rule. What a shard gives beyond whole copies is one seeded run of consecutive blocks, so that of its
+documents, which lie in a seeded order, at most the two at the run's ends are cut.
 
 Defined cases: a null text or one without words has size 0 and nothing is taken; null is a source of its own,
 last in order; repeated rows and repeated ids are separate documents; an empty table gives no rows. Columns
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from colscope.llm.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]*"
 #: Words in a block; a source's taken words differ from its target by about half a block.
 BLOCK_WORDS = 8
 #: Words in a shard; the unit whose documents are put in order together.
@@ -25,8 +27,6 @@ SHARD_WORDS = 1_000_000
 #: No document is taken more often than this.
 MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
-#: Prime and above any number of blocks in a shard, so that its multiples visit every block once.
-_STRIDE = 1_000_000_007
 
 RESULTS = ["size", "source_size", "target", "taken"]
 
@@ -123,7 +123,7 @@ def mix(
 ) -> DataFrame:
     """The columns of ``keep`` (default doc_id and source), ``size``, ``source_size``, ``target``, ``taken``,
     and the choice itself: ``repeats`` (whole copies), ``offset`` (of the text in its shard), ``blocks``,
-    ``extra``, ``start`` (the blocks of its shard, how many are taken once more, and the seeded first one)."""
+    ``extra``, ``start`` (the blocks of its shard, how many in a row are taken once more, and the seeded first one)."""
     keep = [c for c in (keep or ["doc_id", "source"]) if c not in RESULTS]
     sized = stored(_sized(docs, [] if "text" in keep else keep), "mix-sizes")
     totals = sized.groupBy("_source").agg(F.sum("size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
@@ -146,30 +146,30 @@ def mix(
     blocks = F.ceil(F.col("shard_size") / block_words).cast("long")
     repeats = F.when(F.col("blocks") > 0, F.least(F.floor(F.col("quota") / F.col("blocks")), F.lit(most))).otherwise(0).cast("long")
     extra = F.when(F.col("repeats") < most, F.col("quota") - F.col("repeats") * F.col("blocks")).otherwise(0).cast("long")
-    start = F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "_source", "shard"), F.col("blocks"))).otherwise(0).cast("long")
-    laid = laid.withColumn("blocks", blocks).withColumn("repeats", repeats).withColumns({"extra": extra, "start": start})
-    first, last = F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words)
-    inside = lambda b: (
-        F.least((b + 1) * block_words, F.col("offset") + F.col("size")) - F.greatest(b * block_words, F.col("offset"))
-    )
-    more = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(taken_again(b), inside(b)).otherwise(0))).otherwise(0)
+    start = F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "_source", "shard"), F.col("blocks") - F.col("extra") + 1)).otherwise(0).cast("long")
+    laid = laid.withColumn("blocks", blocks).withColumn("repeats", repeats).withColumn("extra", extra).withColumn("start", start)
+    begin, end = taken_words(block_words)
+    more = end - begin
     laid = laid.withColumn("taken", (F.col("repeats") * F.col("size") + more).cast("long"))
     return laid.select(*keep, "size", "source_size", "target", "taken", "repeats", "offset", "blocks", "extra", "start")
 
 
-def taken_again(block: Column) -> Column:
-    """Whether a block is among the ``extra`` seeded ones of its shard."""
-    return F.pmod(block * _STRIDE + F.col("start"), F.col("blocks")) < F.col("extra")
+def taken_words(block_words: int) -> tuple[Column, Column]:
+    """The words of a document, from and to, that lie in the ``extra`` blocks of its shard from ``start`` on."""
+    at = lambda block: F.least(F.greatest(block * block_words - F.col("offset"), F.lit(0)), F.col("size"))
+    return at(F.col("start")), at(F.col("start") + F.col("extra"))
 
 
 def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: a whole copy for each repeat, and one more row with the
-    words of the blocks that are taken once more. Documents of which nothing is taken go. Columns named as a
+    """The rows of ``docs`` as the mix takes them: a whole copy for each repeat, and one more row for
+    what is taken once more: the text as it is, or if the run of blocks ends in it, its words there with what is between them. Documents of which nothing is taken go. Columns named as a
     result of ``mix`` are left out; ``n_chars``, if there, is that of the new text."""
     chosen = mix(docs, block_words=block_words, keep=docs.columns, **options)
     names = [c for c in docs.columns if c not in RESULTS]
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    some = F.array_join(F.filter(words, lambda w, i: taken_again(F.floor((F.col("offset") + i) / block_words))), " ")
+    begin, end = taken_words(block_words)
+    words = F.regexp_extract_all("text", F.lit(WORD + SPACE), F.lit(0))
+    cut = F.regexp_replace(F.array_join(F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")), ""), SPACE + "$", "")
+    some = F.when(end - begin == F.col("size"), F.col("text")).otherwise(cut)
     part = F.when(F.col("taken") > F.col("repeats") * F.col("size"), F.array(some)).otherwise(F.array().cast("array<string>"))
     copies = F.concat(F.array_repeat("text", F.col("repeats").cast("int")), part)
     texts = chosen.withColumn("_taken_text", F.explode(copies))

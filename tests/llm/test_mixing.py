@@ -87,3 +87,13 @@ def test_no_python_in_the_plan(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert df.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_texts_stay_whole(spark):
+    texts = {i: "\n\n".join(f"s{i} w{k}  of\ttext" for k in range(5 + i % 17)) for i in range(300)}
+    df = spark.createDataFrame([(i, "abc"[i % 3], t) for i, t in texts.items()], "doc_id long, source string, text string")
+    rows = mixing.mixed_texts(df).collect()
+    assert {r["source"] for r in rows} == {"a", "b", "c"}
+    assert all(r["text"] in texts[r["doc_id"]] for r in rows)
+    for s in "abc":  # the run of blocks cuts two documents of a shard at most
+        assert sum(r["text"] != texts[r["doc_id"]] for r in rows if r["source"] == s) <= 2
