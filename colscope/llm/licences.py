@@ -7,6 +7,10 @@ trained here, on damaged copies of the notices below and on paragraphs of the co
 calibrated by isotonic regression on a part kept aside. A prediction counts if a notice of its family has
 ``AGREEMENT`` of its n-grams in the paragraph.
 
+A notice may also be broken over lines, and a line may hold several: runs of lines between blank lines are searched
+for stretches about a notice long that agree with it, and each such stretch is classified by itself. A
+mention's line is the one it begins in.
+
 Defined cases: a null or empty text has no paragraphs and no licence; each mention is found, repeated rows
 too; whole texts are read; an empty table gives no rows. Columns other than doc_id and text are not read.
 """
@@ -70,6 +74,8 @@ NOTICES = {
 }
 
 _APART = np.ones(256, bool)
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
@@ -88,6 +94,79 @@ def grams(w: Words, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts), np.concatenate(at)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+def stretches(places: np.ndarray, k: np.ndarray, notice: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(n-grams of the notice, first and last word) of stretches that hold ``AGREEMENT`` of them, best first, none
+    overlapping; an n-gram ``k`` begins at the word ``places``, which ascend."""
+    use = np.isin(k, notice)
+    p, k = places[use].tolist(), k[use].tolist()
+    reach, able = length + max(2, length // 4), []
+    for i in range(len(p)):
+        held, last = set(), i
+        for j in range(i, len(p)):
+            if p[j] >= p[i] + reach:
+                break
+            if k[j] not in held:
+                held.add(k[j])
+                last = j
+        if len(held) >= AGREEMENT * len(notice):
+            able.append((len(held), p[i] - p[last], p[i], p[last]))
+    found, covered = [], set()
+    for n, _, first, last in sorted(able, key=lambda s: (-s[0], -s[1], s[2])):
+        if covered.isdisjoint(range(first, last + 1)):
+            covered.update(range(first, last + 1))
+            found.append((n, first, last))
+    return found
+
+
+def mentions(texts: pa.Array, model: "Model", sieve: np.ndarray) -> list[tuple[int, int, int, int, float, float]]:
+    """(row, first and last line, family, probability, agreement) of the stretches of paragraphs that are notices."""
+    w = words(texts, _APART)
+    if not len(w.start):
+        return []
+    row = w.row
+    breaks = np.concatenate([[0], np.cumsum(w.data == 10)])
+    # a line with nothing but white space ends a paragraph
+    dense = np.concatenate([[0], np.cumsum(~_BLANK[w.data])])
+    ends = np.flatnonzero(w.data == 10)
+    blank = ends[1:][dense[ends[1:]] == dense[ends[:-1] + 1]]
+    part = np.cumsum(np.concatenate([[True], (row[1:] != row[:-1]) | (np.diff(np.searchsorted(blank, w.start)) > 0)])) - 1
+    g, at = grams(w, part)
+    use = sieve[(g >> np.uint64(48)).astype(np.int64)]
+    g, at = g[use], at[use]
+    k = np.minimum(np.searchsorted(model.known, g), len(model.known) - 1)
+    ok = model.known[k] == g
+    k, at = k[ok], at[ok]
+    order = np.argsort(at, kind="stable")
+    k, at = k[order], at[order]
+    of = part[at]
+    pair = np.unique(of * len(model.known) + k)
+    pair_part, pair_gram = pair // len(model.known), pair % len(model.known)
+    tried: dict[int, list] = {}
+    for notices in model.notices:
+        for t in notices:
+            hits = np.bincount(pair_part[np.isin(pair_gram, t)], minlength=1)
+            for x in np.flatnonzero(hits >= AGREEMENT * len(t)).tolist():
+                a, b = np.searchsorted(of, (x, x + 1))
+                length = (len(t) + 3) // 3  # words, if no n-gram is repeated
+                tried.setdefault(x, []).extend(stretches(at[a:b], k[a:b], t, length))
+    out = []
+    for found in tried.values():
+        taken: set[int] = set()
+        for _, first, last in sorted(set(found), key=lambda s: (-s[0], s[1], s[2])):
+            if not taken.isdisjoint(range(first, last + 1)):
+                continue
+            a, b = np.searchsorted(at, (first, last + 1))
+            inside = np.unique(k[a:b])
+            p = model.probabilities([inside])[0]
+            sure, family = float(model.calibrated(1 - p[-1])), int(p[:-1].argmax())
+            agreed = float(model.agreement(family, inside))
+            if sure >= THRESHOLD and agreed >= AGREEMENT:
+                taken.update(range(first, last + 1))
+                base = breaks[w.ends[row[first]]]
+                out.append((int(row[first]), int(breaks[w.start[first]] - base), int(breaks[w.start[last]] - base), family, sure, agreed))
+    return out
+
+
 def _text_grams(text: str) -> np.ndarray:
     w = words(pa.array([text]), _APART)
     return np.unique(grams(w, np.zeros(len(w.start), np.int64))[0])
@@ -244,6 +323,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
                     key = (part[i][0], part[i][1], model.families[best[i]])
                     if agreed >= AGREEMENT and float(sure[i]) > seen.get(key, (0.0, 0.0))[0]:
                         seen[key] = float(sure[i]), float(agreed)
+            for row, line, last, c, p, agreed in mentions(b.column("text"), model, sieve):
+                family = model.families[c]
+                for later in range(line + 1, last + 1):  # parts of the same mention
+                    p = max(p, seen.pop((row, later, family), (0.0, 0.0))[0])
+                if p > seen.get((row, line, family), (0.0, 0.0))[0]:
+                    seen[row, line, family] = p, agreed
             for (row, line, family), (p, agreed) in seen.items():
                 for c, v in zip(out, (ids[row], line, family, p, agreed)):
                     out[c].append(v)

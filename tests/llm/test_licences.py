@@ -47,3 +47,13 @@ def test_awkward_rows(spark, model):
     assert len(rows) == docs.count() and not any(r["families"] for r in rows)
     assert licences.documents(empty(spark), model).collect() == []
     assert licences.train(empty(spark)).families[-1] == licences.UNKNOWN
+
+
+def test_broken_lines_and_several_families(spark, model):
+    bsd = "Redistribution and use in source and binary forms, with or without modification,\n# are permitted provided that the following conditions are met:"
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files"
+    gap = "Licensed under the GNU\n\nAffero words. Licensed under the\n \t\nApache"
+    rows = [(0, "Some text.\n\n# " + bsd + "\n\nmore"), (1, "x\n" + mit), (2, LINES["mit"] + " " + LINES["apache"]), (3, bsd + "\n" + mit), (4, gap), (5, LINES["lgpl"] + ". " + LINES["cc_by_nc"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"], r["line"], r["family"]) for r in licences.scan(df, model).collect())
+    assert found == [(0, 2, "bsd"), (1, 1, "mit"), (2, 0, "apache"), (2, 0, "mit"), (3, 0, "bsd"), (3, 2, "mit"), (5, 0, "cc_by_nc"), (5, 0, "lgpl")]
