@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from colscope.llm import jaccard, language, licences, mixing, passages, pieces, quality, rules, suffixes, vafile
+from colscope.llm import jaccard, language, licences, mixing, packing, passages, pieces, quality, rules, suffixes, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -161,3 +161,9 @@ def op8_license_scan(spark, sf_dir):
 @query("op3_near_passages")
 def op3_near_passages(spark, sf_dir):
     return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_pack_sequences")
+def op13_pack_sequences(spark, sf_dir):
+    packed = packing.pack(table(spark, sf_dir, "documents"), model_path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
