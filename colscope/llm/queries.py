@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from colscope.llm import divergence, jaccard, language, licences, mixing, packing, passages, pieces, quality, rules, suffixes, vafile
+from colscope.llm import divergence, jaccard, language, licences, manifest, mixing, packing, passages, pieces, quality, rules, suffixes, vafile
 from colscope.llm.registry import QUERIES, SQL, query  # noqa: F401
 from colscope.llm.scratch import table
 
@@ -210,3 +210,8 @@ def op13_pack_sequences(spark, sf_dir):
 )
 def op11_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_merkle_manifest")
+def op12_merkle_manifest(spark, sf_dir):
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
