@@ -1,4 +1,3 @@
-import sys
 import zlib
 from collections import defaultdict
 
@@ -87,21 +86,22 @@ def test_costs_are_balanced():
     tokens = np.bincount(sequence, size)
     full = cost[tokens == LENGTH]
     assert tokens.sum() == sizes.sum() and len(full) == sizes.sum() // LENGTH
-    # in the order of arrival the spread is several times as large
+    # in the order of arrival the costs differ by far more
     ends = np.cumsum(sizes)
     cuts = np.union1d(ends, np.arange(LENGTH, ends[-1], LENGTH))
     parts = np.diff(cuts, prepend=0)
     plain = np.bincount((cuts - 1) // LENGTH, parts + parts**2 / 4096)[: len(full)]
-    assert full.std() < plain.std() / 2
+    assert np.ptp(full) < np.ptp(plain) / 2
     assert len(doc) < 1.3 * len(sizes)
 
 
 def test_words_are_cut_as_the_library_does(tokenizer):
     """Every character, alone and between letters, digits, marks and spaces."""
     encoder = packing.Encoder(queries.model_path("byte_bpe_50k.json"))
-    step = 997 if "--quick" in sys.argv else 1
-    chars = [chr(c) for c in range(0, 0x110000, step) if not 0xD800 <= c < 0xE000]
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     texts = ["".join(f"a{c}1{c}!{c} {c}\n{c}" for c in chars[i : i + 2000]) for i in range(0, len(chars), 2000)]
     texts += ["", " ", "  a", "it's we'LL 'tis", " \n\n x", " 　 a", "a" * 5000, "\x00\x01", "'", "''s"]
-    for t, got in zip(texts, encoder.ids(texts)):
-        assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    texts += [" " * 400_000, "x" + "\n" * 400_000 + "y <|endoftext|>", "!" * 50_000]
+    assert encoder.fast
+    for t in texts:
+        assert encoder.ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
