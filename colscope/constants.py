@@ -40,3 +40,6 @@ CLUSTER_SEED = 2
 # Largest number of labels per column that may be held as a driver-side model. Beyond it the
 # join-based operators give the same result without a driver-side label list.
 MAX_MODEL_LABELS = 100_000
+
+# Most classes of a label that a forest tells apart; rarer ones are folded together by hash.
+MAX_CLASSES = 100

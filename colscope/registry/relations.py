@@ -145,3 +145,28 @@ def prepare_mixed_query(spark, sf):
     )
     out = prepare_mixed(df, keep=["p_partkey"])
     return out.frame.select("p_partkey", *[F.col(f"`{c}`") for c in out.index_columns])
+
+
+_WIDE = {"side_index": "code_index", "height": "code_index"}
+
+
+@query("relations_wide", _stated_sql(list(_WIDE), 4, _WIDE))
+def relations_wide(spark, sf):
+    """A class and a number, each missing in half of the rows, that follow from a code of up to 5,000 values; beside it a
+    column with a value for every row."""
+    code = F.col("l_orderkey") % 5000
+    # what a code stands for has nothing to do with its size
+    mixed = (code * 7919 + 13) % 4999
+    half = F.col("l_linenumber") % 2 == 1
+    df = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("c"), code.cast("string")).alias("code"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("unique"),
+        "l_quantity",
+        "l_tax",
+        F.when(half, F.when(mixed < 1500, "low").when(mixed < 3200, "middle").otherwise("high")).alias("side"),
+        F.when(half, mixed.cast("double") / 100).alias("height"),
+    )
+    names = ["code_index", "unique_index", "l_quantity", "l_tax"]
+    df = encode.index_by_join(df, ["code", "unique", "side"], "_index")
+    found = [column_relations(df, [*names, label], [label], numTrees=20) for label in _WIDE]
+    return _stated(found[0].unionByName(found[1]), _WIDE)

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from colscope.constants import FOREST
+from colscope.operators import encode, ordering
 from colscope.operators.encode import string_index
-from colscope.operators.relations import column_relations
+from colscope.operators.relations import column_relations, folded_label
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,74 @@ def test_forest_settings():
         "maxBins": 30, "subsamplingRate": 0.3, "maxDepth": 5, "minInfoGain": 0.0,
         "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 10, "numTrees": 50, "seed": 27,
     }
+
+
+def test_near_unique_columns_and_missing_labels(spark):
+    """Every column as label: a code of its own for each row, half of the labels missing, and no label at all."""
+    rows = [(f"u{i}", "ab"[i % 2] if i < 100 else None, float(i % 2), None) for i in range(200)]
+    df = spark.createDataFrame(rows, "code string, side string, n double, none double")
+    df = encode.index_by_join(df, ["code", "side"], "_index").drop("code", "side")
+    out = column_relations(df, df.columns, numTrees=5).collect()
+    by = {(r["label"], r["feature"]): r for r in out}
+    assert len(by) == 12
+    assert by["side_index", "n"]["rank"] == 1
+    # what occurs once tells nothing
+    assert by["side_index", "code_index"]["importance"] == 0.0
+    assert all(by["none", c]["importance"] == 0.0 for c in df.columns if c != "none")
+
+
+def test_few_rows_and_many_categories(spark):
+    """Fewer labelled rows than a column has categories, itself fewer than bins."""
+    rows = [(f"c{i % 20}", float(i % 3) if i < 12 else None) for i in range(60)]
+    df = encode.index_by_join(spark.createDataFrame(rows, "c string, y double"), ["c"], "_index").drop("c")
+    assert column_relations(df, ["c_index", "y"], ["y"], numTrees=3).count() == 1
+
+
+@pytest.fixture(scope="module")
+def coded(spark):
+    """Categories with a number of their own, which a class and a number follow."""
+    rnd = random.Random(8)
+    places = [rnd.random() for _ in range(60)]
+    rows = [(i, float(c), float(int(places[c] * 4)), places[c] + rnd.random() / 5) for i in range(900) for c in [min(59, int(rnd.expovariate(0.05)))]]
+    return rows, spark.createDataFrame(rows, "_row long, c double, k double, y double")
+
+
+def test_means_leave_the_own_fold_out(spark, coded):
+    rows, df = coded
+    fold = {r["_row"]: r["fold"] for r in df.select("_row", ordering._fold().alias("fold")).collect()}
+    prior = sum(y for *_, y in rows) / len(rows)
+    for hot in (1000, 7):
+        size = ordering.HOT_CATEGORIES
+        ordering.HOT_CATEGORIES = hot
+        try:
+            got = {r["_row"]: r["m"] for r in ordering.ordered_categories(df, ["c"], ["m"], [60], "y", None).collect()}
+        finally:
+            ordering.HOT_CATEGORIES = size
+        for i, c, _, _ in rows:
+            others = [y for j, d, _, y in rows if d == c and fold[j] != fold[i]]
+            want = (sum(others) + ordering.PRIOR_ROWS * prior) / (len(others) + ordering.PRIOR_ROWS) if others else prior
+            assert got[i] == pytest.approx(want)
+
+
+def test_classes_lie_along_the_first_component(coded):
+    import numpy as np
+
+    rows, df = coded
+    (found,) = ordering.class_places(df, ["c"], "k", 4)
+    table = np.zeros((60, 4))
+    for _, c, k, _ in rows:
+        table[int(c), int(k)] += 1
+    table = table[table.sum(axis=1) > 0]
+    n = table.sum(axis=1)
+    centred = table / n[:, None] - table.sum(axis=0) / n.sum()
+    _, vectors = np.linalg.eigh((centred * n[:, None]).T @ centred)
+    assert abs(np.dot(vectors[:, -1], found)) == pytest.approx(1.0)
+
+
+def test_wide_labels_are_folded(spark):
+    df = spark.createDataFrame([(f"u{i % 300}",) for i in range(900)], "code string")
+    df = encode.index_by_join(df, ["code"], "_index")
+    out, n = folded_label(df, "code_index", 40)
+    found = {r[0] for r in out.select("code_index").distinct().collect()}
+    assert n == 40 and found <= set(range(40)) and len(found) > 30
+    assert out.where("code_index < 30").count() == 90
