@@ -19,13 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colscope.columns import ref
+from colscope.operators.lookup import look_up
 
 #: Parts that rows are dealt to, and rows' worth of the overall mean that is added to a category.
 FOLDS, PRIOR_ROWS = 5, 10
 #: Categories of a column, the most frequent ones, whose means are broadcast (``FOLDS`` rows each).
 HOT_CATEGORIES = 1_000
-#: Spare keys for rows that a join does not concern.
-SPREAD = 4_096
 
 
 def numbered(rows: DataFrame, name: str = "_row") -> DataFrame:
@@ -96,28 +95,14 @@ def category_means(rows: DataFrame, columns: list[str], ys: list[Column]) -> Dat
 def with_means(rows: DataFrame, columns: list[str], names: list[str], means: DataFrame, sizes: list[int]) -> DataFrame:
     """``rows`` with the mean of each column's category for the row's fold, under ``names``.
 
-    Categories are numbered by frequency. The leading ones are broadcast, at most ``HOT_CATEGORIES * FOLDS`` rows; a
-    column with more joins the others by shuffle, in which no key is frequent and rows already served are spread.
+    Categories are numbered by frequency; at most ``HOT_CATEGORIES * FOLDS`` rows of means are broadcast (see ``look_up``).
     """
-    kept = [ref(c) for c in rows.columns]
     out = rows.withColumn("_fold", _fold())
     for i, (c, name, size) in enumerate(zip(columns, names, sizes)):
-        mine = means.where(F.col("f") == i)
-        hot = mine.where(F.col("v") < HOT_CATEGORIES).select(F.col("v").alias("_hv"), F.col("fold").alias("_hf"), F.col("mean").alias("_hm"))
-        out = out.withColumn("_v", F.coalesce(ref(c).cast("double"), F.lit(-1.0)))
-        out = out.join(F.broadcast(hot), (F.col("_v") == F.col("_hv")) & (F.col("_fold") == F.col("_hf")), "left")
-        mean = F.col("_hm")
-        if size > HOT_CATEGORIES:
-            cold = mine.where(F.col("v") >= HOT_CATEGORIES).select(
-                F.col("v").alias("_cv"), F.col("fold").alias("_cf"), F.col("mean").alias("_cm"), F.lit(0).alias("_cs")
-            )
-            slot = F.when(F.col("_hv").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_row"), F.lit(SPREAD)).cast("int") + 1)
-            out = out.withColumn("_slot", slot)
-            out = out.join(cold, (F.col("_v") == F.col("_cv")) & (F.col("_fold") == F.col("_cf")) & (F.col("_slot") == F.col("_cs")), "left")
-            mean = F.coalesce("_hm", "_cm")
-        kept.append(ref(name))
-        out = out.withColumn(name, mean).select(*kept, "_fold")
-    return out.select(*kept)
+        mine = means.where(F.col("f") == i).select("v", "fold", F.col("mean").alias(name))
+        keys = {"v": F.coalesce(ref(c).cast("double"), F.lit(-1.0)), "fold": F.col("_fold")}
+        out = look_up(out, keys, mine, [name], size, HOT_CATEGORIES)
+    return out.drop("_fold")
 
 
 def ordered_categories(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "colscope", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -65,3 +65,10 @@ def ensure_checkpointing(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df``, computed once and read back from the shared folder, so that its lineage ends there."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

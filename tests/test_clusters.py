@@ -65,3 +65,31 @@ def test_needs_labels_and_bins(encoded):
         fit_mixed_clusters(encoded.drop("n-bucketized"), ["a-index"], ["n"])
     with pytest.raises(ValueError):
         fit_mixed_clusters(encoded, ["n"], ["n"])
+
+
+def test_costs_are_those_of_the_value_distances(encoded):
+    model = fit_mixed_clusters(encoded, ["a-index", "b-index"], ["n"], max_rounds=2)
+    costs = {(r["position"], int(r["value"])): r for r in model.costs.collect()}
+    for i, table in enumerate(model.tables):
+        for v, row in enumerate(table):
+            for c, centre in enumerate(model.centres):
+                want = sum(s * d for s, d in zip(centre.shares[i], row)) ** 2
+                assert costs[i, v][f"c{c}"] == pytest.approx(want, abs=1e-12)
+
+
+def test_five_thousand_values(spark):
+    """Far more values than a table of their pairs could hold; half of them are frequent."""
+    rows = [(f"w{c}", "pq"[c % 2], c % 2 + i % 7 / 100) for i in range(20_000) for c in [i % 5000 if i % 4 or i < 5000 else i % 2500]]
+    df = spark.createDataFrame(rows, "w string, s string, n double")
+    df = encode.bucketize(encode.index_by_join(df, ["w", "s"]), ["n"])
+    model = fit_mixed_clusters(df, ["w-index", "s-index"], ["n"], k=2)
+    assert model.sizes == [5000, 2] and model.converged
+    assert model.costs.where("position = 0").count() == 5000
+    # what a value stands for decides its cluster, and the shares are those of the rows
+    out = model.assign(df).cache()
+    assert out.select("s", "cluster").distinct().count() == 2
+    n = {r["cluster"]: r["count"] for r in out.groupBy("cluster").count().collect()}
+    want = {(r["w-index"], r["cluster"]): r["count"] / n[r["cluster"]] for r in out.groupBy("w-index", "cluster").count().collect()}
+    got = {(r["value"], r["cluster"]): r["share"] for r in model.shares.where("position = 0").collect()}
+    assert got == pytest.approx(want)
+    out.unpersist()
