@@ -143,12 +143,17 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     have few value combinations, whole tuples are counted first, so each input row is hashed once and
     only the small table of tuples is split into pairs; otherwise rows are split directly and
     combined before the shuffle. Rows null in either column of a pair are left out of that pair.
+
+    A column may be an array of terms. A row then counts towards each of its distinct terms with an equal share, so
+    that it counts once in all; ``count`` is a double then, and a row without terms is left out like one with a null.
     """
     require_present(df, columns)
     if len(columns) < 2:
         raise ValueError("pair counts need at least two columns")
     if len(set(columns)) != len(columns):
         raise ValueError("columns must be distinct")
+    if any(is_term_array(dtype(df, c)) for c in columns):
+        return _shared_pair_counts(df, columns)
     same = len({dtype(df, c).simpleString() for c in columns}) == 1
     arities = [known_arity(df, c) for c in columns]
     base = df.select(
@@ -177,7 +182,11 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         .select("n", "pair", "v.vi", "v.vj")
         .where("vi is not null and vj is not null")
     )
-    counted = flat.groupBy("pair", "vi", "vj").agg(weight.alias("count"))
+    return _mirrored(flat.groupBy("pair", "vi", "vj").agg(weight.alias("count")), columns, pairs)
+
+
+def _mirrored(counted: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Counts of both orders of each pair, with the columns' names."""
     left = [x for k, (i, _) in enumerate(pairs) for x in (F.lit(f"p{k}"), F.lit(columns[i]))]
     right = [x for k, (_, j) in enumerate(pairs) for x in (F.lit(f"p{k}"), F.lit(columns[j]))]
     a = F.element_at(F.create_map(*left), F.col("pair"))
@@ -189,3 +198,31 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         )
 
     return counted.select(F.inline(F.array(row(a, b, "vi", "vj"), row(b, a, "vj", "vi"))))
+
+
+def term_shares(df: DataFrame, column: str) -> Column:
+    """``array<struct<v, w>>``: the distinct values of a row, each with its share of the row. A single value has a
+    share of one; nulls have none."""
+    c = ref(column)
+    if not is_term_array(dtype(df, column)):
+        one = F.struct(c.cast("string").alias("v"), F.lit(1.0).alias("w"))
+        return F.array_compact(F.array(F.when(c.isNotNull(), one)))
+    terms = F.array_distinct(F.array_compact(c))
+    return F.transform(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.struct(t.alias("v"), (F.lit(1.0) / F.size(terms)).alias("w")))
+
+
+def _shared_pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``pair_counts`` by shares. A row's pairs of terms are made one after the other, never as one array, and are combined
+    before the shuffle."""
+    base = df.select(*[term_shares(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    pairs = list(combinations(range(len(columns)), 2))
+    flat = (
+        base.select(*[F.struct(F.col(f"c{i}").alias("i"), F.col(f"c{j}").alias("j")).alias(f"p{k}") for k, (i, j) in enumerate(pairs)])
+        .unpivot([], [f"p{k}" for k in range(len(pairs))], "pair", "v")
+        .select("pair", F.explode("v.i").alias("i"), F.col("v.j").alias("j"))
+        .select("pair", "i", F.explode("j").alias("j"))
+    )
+    counted = flat.groupBy("pair", F.col("i.v").alias("vi"), F.col("j.v").alias("vj")).agg(
+        F.sum(F.col("i.w") * F.col("j.w")).alias("count")
+    )
+    return _mirrored(counted, columns, pairs)

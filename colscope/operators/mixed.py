@@ -16,9 +16,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colscope.columns import require_present
+from colscope.columns import ref, require_present
 from colscope.constants import DISTANCE_BINS
-from colscope.operators.aggregates import pair_counts
+from colscope.operators.aggregates import pair_counts, term_shares
 
 # Values that may meet in one group of the pair join; larger groups are sliced.
 GROUP_SIZE = 4_096
@@ -118,6 +118,33 @@ def requested_distance(proba: DataFrame, columns: int, pairs: DataFrame) -> Data
     )
 
 
+def row_distance(df: DataFrame, key: str, column: str, pairs: DataFrame, distances: DataFrame) -> DataFrame:
+    """``x, y, distance`` for the pairs ``x, y`` of rows asked for (repeated ones once), named by ``key``.
+
+    A row stands for the distinct values it has in ``column``, a single one or an array, with equal shares. The distance of
+    two rows is the mean distance of a value of one and a value of the other, as often as they have them; that of a row
+    and itself is thus not zero unless its values are alike. ``distances`` are those of ``value_distance`` or
+    ``requested_distance`` with ``column, vx, vy, distance``, vx < vy; equal values are at distance zero. Pairs with a row that has no
+    value, or with a pair of values that ``distances`` does not list, have none.
+    """
+    require_present(df, [key, column])
+    asked = pairs.select("x", "y").distinct()
+    held = df.select(ref(key).alias("_key"), F.inline(term_shares(df, column)))
+    x = held.select(F.col("_key").alias("x"), F.col("v").alias("vx"), F.col("w").alias("wx"))
+    y = held.select(F.col("_key").alias("y"), F.col("v").alias("vy"), F.col("w").alias("wy"))
+    met = asked.join(x, ["x"]).join(y, ["y"])
+    known = distances.where(F.col("column") == column).select(
+        F.col("vx").alias("_low"), F.col("vy").alias("_high"), F.col("distance").alias("_distance")
+    )
+    met = met.join(known, (F.least("vx", "vy") == F.col("_low")) & (F.greatest("vx", "vy") == F.col("_high")), "left")
+    far = F.when(F.col("vx") == F.col("vy"), F.lit(0.0)).otherwise(F.col("_distance"))
+    found = met.groupBy("x", "y").agg(
+        F.sum(F.col("wx") * F.col("wy") * far).alias("distance"), F.count_if(far.isNull()).alias("_unknown")
+    )
+    found = found.select("x", "y", F.when(F.col("_unknown") == 0, F.col("distance")).alias("distance"))
+    return asked.join(found, ["x", "y"], "left")
+
+
 def significance(proba: DataFrame, columns: int, bins: int = DISTANCE_BINS) -> DataFrame:
     """``column, significance, significance_raw``: distances (and co-occurrences) of a column's value
     pairs, summed and divided by the number of bin pairs.
@@ -166,7 +193,8 @@ def mixed_distance(
 ) -> MixedDistance:
     """Value distances of the qualitative columns and significances of the quantitative ones.
 
-    ``quali`` are indexed columns and ``quanti`` bucketized ones. All take part in every distance.
+    ``quali`` are indexed columns, or arrays of terms, and ``quanti`` bucketized ones. All take part in every
+    distance; a row counts towards its terms in equal shares.
     The pair counts are the only pass over the table; they are stored (their size depends on the
     number of values, not rows) and feed both results. ``store=False`` suits callers of one result,
     who then have nothing to release.

@@ -75,6 +75,8 @@ class MixedFeatures:
     quanti: list[str]
     multi: list[str]
     left_out: list[str] = field(default_factory=list)
+    terms: list[str] = field(default_factory=list)
+    with_terms: DataFrame | None = None
 
     @property
     def index_columns(self) -> list[str]:
@@ -84,7 +86,10 @@ class MixedFeatures:
     def bin_columns(self) -> list[str]:
         return [f"{c}-bucketized" for c in self.quanti]
 
-    def distances(self) -> MixedDistance:
+    def distances(self, multi: bool = False) -> MixedDistance:
+        """Distances of the values of categories; with ``multi`` multi-valued columns take part with their terms."""
+        if multi and self.with_terms is not None:
+            return mixed_distance(self.with_terms, [*self.index_columns, *self.terms], self.bin_columns)
         return mixed_distance(self.frame, self.index_columns, self.bin_columns)
 
 
@@ -96,7 +101,8 @@ def prepare_mixed(
 ) -> MixedFeatures:
     """Clean and encode a typed table for distances and clustering.
 
-    Null policy; array columns to one term, or to indicators where the catalog calls them multi-valued;
+    Null policy; array columns to one term, or to indicators where the catalog calls them multi-valued, whose listed
+    terms ``distances`` can compare as ``<col>-terms``;
     timestamps to numbers; then indexes, one-hot slots, bins and the scaled feature vector. Columns the
     null policy drops take no further part, nor do columns the catalog calls ``other`` or ``coordinates``.
     Dates count as their midnight and booleans as text; ``left_out`` lists columns of any other type.
@@ -129,10 +135,14 @@ def prepare_mixed(
     quali = [c for c in split_by_role(work)["string"] if c in used]
     quanti = [c for c in split_by_role(work)["numeric"] if c in used]
     multi: list[str] = []
+    held: list[str] = []
     for c in arrays:
         if entries.get(c, {}).get("is_multi"):
             work = array_indicators(work, c, listed[c])
             multi += indicator_names(c, listed[c])
+            held.append(f"{c}-terms")
+            listing = F.array(*[F.lit(t) for t in listed[c]]).cast("array<string>")
+            work = work.select("*", F.array_intersect(ref(c), listing).alias(held[-1]))
         else:
             work = array_first_term(work, c, listed[c])
             quali.append(f"{c}-str")
@@ -155,5 +165,6 @@ def prepare_mixed(
     names = [
         *keep, "features", *[f"{c}-index" for c in quali], *[f"{c}-bucketized" for c in quanti],
     ]
-    frame = model.transform(work).select(*[ref(n) for n in names])
-    return MixedFeatures(frame, model, plan, quali, quanti, multi, left_out)
+    encoded = model.transform(work)
+    frame, with_terms = (encoded.select(*[ref(n) for n in some]) for some in (names, [*names, *held]))
+    return MixedFeatures(frame, model, plan, quali, quanti, multi, left_out, held, with_terms)

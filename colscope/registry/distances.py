@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colscope.operators import encode
 from colscope.operators.aggregates import pair_counts
 from colscope.operators.clusters import fit_mixed_clusters
-from colscope.operators.mixed import conditional_proba, mixed_distance, requested_distance, significance, value_distance
+from colscope.operators.mixed import conditional_proba, mixed_distance, requested_distance, row_distance, significance, value_distance
 from colscope.registry import query, table
 
 _COLS = ["l_returnflag", "l_linestatus", "l_linenumber"]
@@ -36,9 +36,9 @@ def _proba_sql(cols: list[str], source: str) -> str:
  FROM ({_pairs_sql(cols, source)})"""
 
 
-def _distance_sql(cols: list[str], source: str) -> str:
+def _distance_sql(cols: list[str], source: str, proba: str | None = None) -> str:
     """The direct sum over all values w of the larger share, a missing pair counting as zero."""
-    return f"""WITH p AS ({_proba_sql(cols, source)}),
+    return f"""WITH p AS ({proba or _proba_sql(cols, source)}),
  v AS (SELECT DISTINCT ci, vi FROM p),
  g AS (SELECT x.ci, x.vi AS vx, y.vi AS vy, w.cj, w.vj FROM v x JOIN v y ON x.ci = y.ci AND x.vi < y.vi
  JOIN (SELECT DISTINCT ci, cj, vj FROM p) w ON w.ci = x.ci),
@@ -61,8 +61,8 @@ def conditional_proba_query(spark, sf):
     return conditional_proba(pair_counts(_line(spark, sf), _COLS)).withColumn("p", F.round("p", 6))
 
 
-def _rounded_distance(df):
-    return df.withColumns({c: F.round(c, 6) for c in ("cooccurrence", "distance")})
+def _rounded_distance(df, nudge: float = 0.0):
+    return df.withColumns({c: F.round(F.col(c) + nudge, 6) for c in ("cooccurrence", "distance")})
 
 
 @query("value_distance", _distance_sql(_COLS, _TEXT))
@@ -89,6 +89,51 @@ def value_distance_wide(spark, sf):
     return _rounded_distance(requested_distance(conditional_proba(pair_counts(part, _WIDE)), len(_WIDE), pairs))
 
 
+_TERMS = ["terms", "p_brand", "p_type"]
+# a row counts once in all: its distinct terms share it
+_SHARED = """SELECT ci, vi, cj, vj, n / sum(n) OVER (PARTITION BY ci, cj, vi) AS p FROM (
+ SELECT a.c AS ci, a.v AS vi, b.c AS cj, b.v AS vj, sum(a.w * b.w) AS n FROM s a JOIN s b ON a.id = b.id AND a.c <> b.c GROUP BY ALL)"""
+_SHARES = """s AS (
+ SELECT p_partkey AS id, 'terms' AS c, unnest(terms) AS v, CAST(1 AS DOUBLE) / len(terms) AS w
+ FROM (SELECT p_partkey, list_distinct(string_split(p_name, ' ') || [p_type]) AS terms FROM part)
+ UNION ALL SELECT p_partkey, 'p_brand', p_brand, 1 FROM part
+ UNION ALL SELECT p_partkey, 'p_type', p_type, 1 FROM part)"""
+
+
+def _parts(spark, sf):
+    terms = F.concat(F.split("p_name", " "), F.array("p_type"))
+    return table(spark, sf, "part").select("p_partkey", terms.alias("terms"), "p_brand", "p_type")
+
+
+# sums of shares differ in their last digits with the order of rows, which must not decide how halves are rounded
+_NUDGE = 1e-9
+
+
+@query(
+    "multi_valued_distance",
+    f"WITH {_SHARES} SELECT * FROM ({_distance_sql(_TERMS, '', _SHARED)})".replace("(coo, 6)", f"(coo + {_NUDGE}, 6)").replace("(coo - 1, 6)", f"(coo - 1 + {_NUDGE}, 6)"),
+)
+def multi_valued_distance(spark, sf):
+    """Distances of the words of part names and their types, a column of several values a row, of brands and of types."""
+    return _rounded_distance(value_distance(conditional_proba(pair_counts(_parts(spark, sf), _TERMS)), len(_TERMS)), _NUDGE)
+
+
+@query(
+    "multi_valued_rows",
+    f"""WITH {_SHARES}, d AS (SELECT vx, vy, distance FROM ({_distance_sql(_TERMS, '', _SHARED).replace("round(coo - 1, 6)", "coo - 1")}) WHERE "column" = 'terms')
+ SELECT x.id AS x, y.id AS y, round(sum(x.w * y.w * CASE WHEN x.v = y.v THEN 0 ELSE d.distance END) + {_NUDGE}, 6) AS distance
+ FROM s x JOIN s y ON y.id = x.id + 1 AND x.c = 'terms' AND y.c = 'terms'
+ LEFT JOIN d ON d.vx = least(x.v, y.v) AND d.vy = greatest(x.v, y.v) GROUP BY x.id, y.id""",
+)
+def multi_valued_rows(spark, sf):
+    """How far each part's words are from the next part's."""
+    parts = _parts(spark, sf)
+    ids = parts.select(F.col("p_partkey").alias("x"))
+    pairs = ids.withColumn("y", F.col("x") + 1).join(ids.select(F.col("x").alias("y")), ["y"], "left_semi")
+    found = value_distance(conditional_proba(pair_counts(parts, _TERMS)), len(_TERMS))
+    return row_distance(parts, "p_partkey", "terms", pairs, found).withColumn("distance", F.round(F.col("distance") + _NUDGE, 6))
+
+
 def _bin_sql(c: str) -> str:
     lo, hi = f"(SELECT min({c}) FROM lineitem)", f"(SELECT max({c}) FROM lineitem)"
     edges = [f"CASE WHEN {c} >= {lo} + (({hi} - {lo}) / 10) * {i} THEN 1 ELSE 0 END" for i in range(1, 10)]

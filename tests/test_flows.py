@@ -58,6 +58,14 @@ def test_prepare_mixed(typed):
     d.release()
 
 
+def test_multi_valued_columns_take_part_in_distances(typed):
+    out = prepare_mixed(typed, {"multi": {"is_multi": True}}, keep=["id"])
+    d = out.distances(multi=True)
+    found = {(r["column"], r["vx"], r["vy"]) for r in d.cooccurrences.collect()}
+    assert ("multi-terms", "p", "q") in found and {c for c, _, _ in found} == {"sex-index", "tags-str-index", "multi-terms"}
+    d.release()
+
+
 def test_row_functions_accept_a_stream(spark, tmp_path):
     from colscope import streaming
 

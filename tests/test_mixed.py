@@ -6,7 +6,7 @@ import pytest
 
 from colscope.operators import encode, mixed
 from colscope.operators.aggregates import pair_counts
-from colscope.operators.mixed import conditional_proba, mixed_distance, significance, value_distance
+from colscope.operators.mixed import conditional_proba, mixed_distance, row_distance, significance, value_distance
 
 
 def brute(data, cols):
@@ -97,3 +97,22 @@ def test_mixed_distance(spark):
     total = sum(v - 1 for k, v in expected.items() if k[0] == "n-bucketized")
     assert (sig["column"], sig["significance"]) == ("n-bucketized", pytest.approx(total / 45))
     out.release()
+
+
+def test_arrays_count_by_shares(spark):
+    rows = [(["a", "b"], "x"), (["a", "a", None], "y"), ([], "x"), (None, "y"), (["c"], None), (["b", "c", "a"], "x")]
+    df = spark.createDataFrame(rows, "t array<string>, s string")
+    got = {(r["ci"], r["vi"], r["vj"]): r["count"] for r in pair_counts(df, ["t", "s"]).collect()}
+    want = {("a", "x"): 1 / 2 + 1 / 3, ("a", "y"): 1.0, ("b", "x"): 1 / 2 + 1 / 3, ("c", "x"): 1 / 3}
+    assert got == pytest.approx({**{("t", *k): n for k, n in want.items()}, **{("s", k[1], k[0]): n for k, n in want.items()}})
+
+
+def test_distances_of_rows_with_several_values(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, []), (4, ["c", "a"]), (5, ["z"])], "id int, t array<string>")
+    far = spark.createDataFrame([("t", "a", "b", 0.4), ("t", "b", "c", 1.0), ("t", "a", "c", 0.5), ("u", "a", "b", 9.0)], "column string, vx string, vy string, distance double")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (1, 1), (1, 3), (1, 4), (1, 5), (5, 5)], "x int, y int")
+    got = {(r["x"], r["y"]): r["distance"] for r in row_distance(df, "id", "t", pairs, far).collect()}
+    assert len(got) == 7 and got[1, 3] is None and got[1, 5] is None and got[5, 5] == 0.0
+    assert got[1, 2] == got[2, 1] == pytest.approx(0.2)
+    assert got[1, 1] == pytest.approx(0.2)
+    assert got[1, 4] == pytest.approx((0.5 + 0.0 + 1.0 + 0.4) / 4)
