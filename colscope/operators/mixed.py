@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 from colscope.columns import ref, require_present
 from colscope.constants import DISTANCE_BINS
 from colscope.operators.aggregates import pair_counts, term_shares
+from colscope.session import written
 
 # Values that may meet in one group of the pair join; larger groups are sliced.
 GROUP_SIZE = 4_096
+# Steps that shares are cut into for a join, and what rounding may take from a bound.
+STEPS = 64
+SLACK = 1e-6
 
 
 def conditional_proba(pairs: DataFrame) -> DataFrame:
@@ -118,6 +122,64 @@ def requested_distance(proba: DataFrame, columns: int, pairs: DataFrame) -> Data
     )
 
 
+def _entries(proba: DataFrame) -> DataFrame:
+    """``ci, x, f, p``: the shares of each value, by the value they are shares of."""
+    mine = proba.where(F.col("ci").isNotNull() & F.col("vi").isNotNull())
+    return mine.select("ci", F.col("vi").alias("x"), F.struct("cj", "vj").alias("f"), "p")
+
+
+def _overlaps(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """``ci, x, y, low`` for pairs of values: the sum of the smaller shares, rounded so that its order is that of the values'
+    shares, not of the rows."""
+    a = entries.withColumnRenamed("p", "px")
+    b = entries.select("ci", F.col("x").alias("y"), "f", F.col("p").alias("py"))
+    met = pairs.join(a, ["ci", "x"]).join(b, ["ci", "y", "f"])
+    return met.groupBy("ci", "x", "y").agg(F.round(F.sum(F.least("px", "py")), 9).alias("low"))
+
+
+def nearest_values(proba: DataFrame, columns: int, n: int = 10) -> DataFrame:
+    """``column, value, rank, nearest, distance``: for each value the ``n`` values of its column at the smallest distance
+    (see ``value_distance``), ties to the smaller one. Values that share nothing, at distance one, are not listed.
+
+    The answer is exact, but only pairs that may belong to it are compared. First each value meets the few
+    that come next to it by the size of some share, which gives a bound t on its n-th best overlap. A better one must then
+
+    * share one of its rarest values: those whose shares, with all more common ones, add up to t or more;
+    * have a share there that differs by at most ``columns - 1 - t``, as a difference in one share of a column takes as much
+      from the column's overlap. Shares are cut into steps, so this is part of the join's key.
+    """
+    if columns < 2:
+        raise ValueError("a distance needs at least two columns")
+    entries = written(_entries(proba), "entries")
+    spread = entries.groupBy("ci", "f").agg(F.count(F.lit(1)).alias("df"))
+    known = entries.join(spread, ["ci", "f"])
+    # neighbours by share, in slices of a bounded size: which ones are met matters for the bound alone
+    step = F.floor(F.col("p") * STEPS).cast("int")
+    slices = F.pmod(F.xxhash64("x"), F.ceil(F.col("df") / F.lit(GROUP_SIZE))).cast("int")
+    near = Window.partitionBy("ci", "f", "step", "slice").orderBy("p", "x")
+    met = known.select("ci", "x", "f", "p", step.alias("step"), slices.alias("slice"))
+    met = met.withColumn("after", F.collect_list("x").over(near.rowsBetween(1, n)))
+    met = met.select("ci", F.col("x").alias("a"), F.explode("after").alias("b"))
+    both = F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    first = _overlaps(met.select("ci", both).distinct(), entries)
+    best = Window.partitionBy("ci", "x").orderBy(F.desc("low"), "y")
+    bound = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == n).select("ci", "x", F.col("low").alias("t"))
+    # the rarest first; what a value shares with all from one place on
+    onwards = Window.partitionBy("ci", "x").orderBy(F.desc("df"), F.desc("f")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    search = known.withColumn("rest", F.sum("p").over(onwards)).join(bound, ["ci", "x"], "left").fillna(0.0, ["t"])
+    search = search.where(F.col("rest") >= F.col("t") - SLACK)
+    off = F.lit(float(columns - 1)) - F.col("t") + F.lit(SLACK)
+    low, high = (F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), e)) * STEPS).cast("int") for e in (F.col("p") - off, F.col("p") + off))
+    search = search.select("ci", "x", "f", F.col("p").alias("px"), off.alias("off"), F.explode(F.sequence(low, high)).alias("step"))
+    held = entries.select("ci", F.col("x").alias("y"), "f", F.col("p").alias("py"), step.alias("step"))
+    met = search.join(held, ["ci", "f", "step"])
+    met = met.where((F.col("x") != F.col("y")) & (F.abs(F.col("px") - F.col("py")) <= F.col("off")))
+    found = _overlaps(met.select("ci", "x", "y").distinct(), entries)
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    distance = F.greatest(F.lit(1.0) - F.col("low") / F.lit(columns - 1), F.lit(0.0))
+    return found.select(F.col("ci").alias("column"), F.col("x").alias("value"), "rank", F.col("y").alias("nearest"), distance.alias("distance"))
+
+
 def row_distance(df: DataFrame, key: str, column: str, pairs: DataFrame, distances: DataFrame) -> DataFrame:
     """``x, y, distance`` for the pairs ``x, y`` of rows asked for (repeated ones once), named by ``key``.
 

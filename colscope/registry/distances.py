@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from colscope.operators import encode
 from colscope.operators.aggregates import pair_counts
 from colscope.operators.clusters import fit_mixed_clusters
-from colscope.operators.mixed import conditional_proba, mixed_distance, requested_distance, row_distance, significance, value_distance
+from colscope.operators.mixed import conditional_proba, mixed_distance, nearest_values, requested_distance, row_distance, significance, value_distance
 from colscope.registry import query, table
 
 _COLS = ["l_returnflag", "l_linestatus", "l_linenumber"]
@@ -89,6 +89,27 @@ def value_distance_wide(spark, sf):
     return _rounded_distance(requested_distance(conditional_proba(pair_counts(part, _WIDE)), len(_WIDE), pairs))
 
 
+_BUYERS = ["customer", "day", "price"]
+_BUYER_TEXT = "(SELECT CAST(o_custkey AS VARCHAR) AS customer, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(CAST(floor(o_totalprice / 500) AS BIGINT) AS VARCHAR) AS price FROM orders)"
+
+
+@query(
+    "nearest_values",
+    f"""WITH p AS ({_proba_sql(_BUYERS, _BUYER_TEXT)}),
+ m AS (SELECT a.vi AS x, b.vi AS y, round(sum(least(a.p, b.p)), 9) AS low FROM p a JOIN p b
+ ON a.ci = 'customer' AND b.ci = 'customer' AND a.cj = b.cj AND a.vj = b.vj AND a.vi <> b.vi GROUP BY 1, 2),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY x ORDER BY low DESC, y) AS INTEGER) AS rank FROM m)
+ SELECT 'customer' AS "column", x AS value, rank, y AS nearest, round(greatest(1 - low / 2, 0), 6) AS distance FROM r WHERE rank <= 5""",
+)
+def nearest_values_query(spark, sf):
+    """The five customers that order most alike, by days and by prices."""
+    o = table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("customer"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.floor(F.col("o_totalprice") / 500).cast("string").alias("price")
+    )
+    proba = conditional_proba(pair_counts(o, _BUYERS)).where(F.col("ci") == "customer")
+    return nearest_values(proba, len(_BUYERS), 5).withColumn("distance", F.round("distance", 6))
+
+
 _TERMS = ["terms", "p_brand", "p_type"]
 # a row counts once in all: its distinct terms share it
 _SHARED = """SELECT ci, vi, cj, vj, n / sum(n) OVER (PARTITION BY ci, cj, vi) AS p FROM (

@@ -116,3 +116,26 @@ def test_distances_of_rows_with_several_values(spark):
     assert got[1, 2] == got[2, 1] == pytest.approx(0.2)
     assert got[1, 1] == pytest.approx(0.2)
     assert got[1, 4] == pytest.approx((0.5 + 0.0 + 1.0 + 0.4) / 4)
+
+
+@pytest.mark.parametrize("n", [1, 4, 100])
+def test_nearest_values_are_those_of_all_distances(spark, n, monkeypatch):
+    monkeypatch.setattr(mixed, "GROUP_SIZE", 8)
+    rnd = random.Random(6)
+    data = [(f"a{min(29, int(rnd.expovariate(0.1)))}", rnd.choice("xyz"), f"w{rnd.randrange(40)}") for _ in range(300)]
+    df = spark.createDataFrame([*data, ("lonely", "none", "nobody")], "a string, b string, c string")
+    proba = conditional_proba(pair_counts(df, ["a", "b", "c"])).cache()
+    every = defaultdict(list)
+    for r in value_distance(proba, 3).collect():
+        if r["distance"] < 1 - 1e-9:
+            every[r["column"], r["vx"]].append((round(r["distance"], 8), r["vy"]))
+            every[r["column"], r["vy"]].append((round(r["distance"], 8), r["vx"]))
+    got = defaultdict(list)
+    for r in sorted(mixed.nearest_values(proba, 3, n).collect(), key=lambda r: r["rank"]):
+        got[r["column"], r["value"]].append((r["distance"], r["nearest"]))
+    assert got.keys() == every.keys() and ("a", "lonely") not in got
+    for key, found in got.items():
+        want = sorted(every[key])[:n]
+        assert [d for d, _ in found] == pytest.approx([d for d, _ in want], abs=1e-7)
+        assert len({y for _, y in found}) == len(want)
+    proba.unpersist()
