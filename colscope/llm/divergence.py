@@ -29,7 +29,7 @@ from colscope.llm.words import steps, words
 #: The share of one, and what is added to each count.
 ONE, ADDED = 1_000_000_000, 2
 #: Bytes of text in a slice that is sorted at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 23
 #: Sources on each side of a block, and words that it holds at once.
 SOURCES, WORDS = 64, 1024
 
@@ -39,6 +39,9 @@ SEPARATORS[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
+#: The first 0 to 7 of eight bytes.
+_WITHIN = np.array([(1 << 64) - (1 << 8 * (8 - k)) for k in range(8)], np.uint64)
+
 GROUP = ["lang", "source"]
 
 
@@ -56,14 +59,12 @@ class Sorted:
 def _keys(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Seven bytes from ``at`` as one number, zeros beyond the ``left`` bytes of the word; the lowest byte tells whether the word
     goes on. Words hold no zero byte, so a word comes before those it begins."""
-    key = np.zeros(len(at), np.uint64)
-    for k in range(7):
-        key = key << np.uint64(8) | np.where(left > k, data[at + k], 0).astype(np.uint64)
-    return key << np.uint64(8) | (left > 7)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8").ravel().astype(np.uint64)
+    return (eight & _WITHIN[np.minimum(left, 7)]) | (left > 7)
 
 
 def multikey_quicksort(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> Sorted:
-    """Sort word starts by the words' bytes. ``data`` goes on for seven bytes after the last word.
+    """Sort word starts by the words' bytes. ``data`` goes on for eight bytes after the last word.
 
     All segments are parted in the same round: those below, at and above the key of a middle member. Segments at the
     pivot go seven bytes deeper, or are an equal run if the word ends there; the others keep their keys. A word that holds
@@ -74,31 +75,31 @@ def multikey_quicksort(data: np.ndarray, start: np.ndarray, size: np.ndarray) ->
     begins = np.zeros(n + 1, bool)
     begins[[0, n]] = True
     # the places that are still sorted, the pointers there, their keys and depth
-    place, pointer = np.arange(n), np.arange(n)
-    depth = np.zeros(n, np.int64)
+    place, pointer = np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)
+    depth = np.zeros(n, np.int32)
     key = _keys(data, start, size)
     while len(place):
         first = np.flatnonzero(begins[place])
         length = np.diff(np.append(first, len(place)))
         middle = first + length // 2
         pivot = np.maximum(np.minimum(key[first], key[middle]), np.minimum(np.maximum(key[first], key[middle]), key[first + length - 1]))
-        of = np.repeat(np.arange(len(first)), length)
-        below, above = key < pivot[of], key > pivot[of]
-        low = np.cumsum(below) - below
-        high = np.cumsum(above) - above
-        n_low = np.add.reduceat(below, first, dtype=np.int64)
-        n_high = np.add.reduceat(above, first, dtype=np.int64)
-        within = np.arange(len(place)) - first[of]
-        low, high = low - low[first][of], high - high[first][of]
-        equal = ~(below | above)
-        to = first[of] + np.where(below, low, np.where(above, (length - n_high)[of] + high, n_low[of] + within - low - high))
-        moved = np.empty(len(place), np.int64)
-        moved[to] = np.arange(len(place))
+        of = np.repeat(np.arange(len(first), dtype=np.int32), length)
+        middle_key = pivot[of]
+        below, above = key < middle_key, key > middle_key
+        parts = [np.flatnonzero(below), np.flatnonzero(~(below | above)), np.flatnonzero(above)]
+        # each part goes to its segments, in the order it has
+        moved, begin, sizes = np.empty(len(place), np.int32), first, []
+        for part in parts:
+            segment = of[part]
+            count = np.bincount(segment, minlength=len(first))
+            moved[np.arange(len(part)) + (begin - np.cumsum(count) + count)[segment]] = part
+            begin, sizes = begin + count, [*sizes, count]
+        equal = np.zeros(len(place), bool)
+        equal[parts[1]] = True
         pointer, key, depth, equal = pointer[moved], key[moved], depth[moved], equal[moved]
         order[place] = pointer
-        ends = place[first] + n_low
-        begins[ends] = True
-        begins[place[first] + length - n_high] = True
+        begins[place[first] + sizes[0]] = True
+        begins[place[first] + sizes[0] + sizes[1]] = True
         ended = equal & (key & np.uint64(1) == 0)
         # a segment of one is in place
         alone = begins[place] & begins[place + 1]
