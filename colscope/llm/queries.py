@@ -212,6 +212,60 @@ def op11_source_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-@query("op12_merkle_manifest")
+@query(
+    "op12_merkle_manifest",
+    """
+    WITH RECURSIVE t AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+            lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t
+    ), d AS (
+        SELECT row_number() OVER () AS id, doc_id, text, CASE WHEN source IS NULL THEN '' ELSE '.' || source END AS tree,
+               list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)],
+                   lambda v: coalesce(octet_length(encode(v)) || ':' || v, '-')) AS head,
+               xor(4294967295, list_reduce(
+                   list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                   lambda c, x: xor(t[CAST(xor(c, x) % 256 AS INTEGER) + 1], c // 256))) AS crc
+        FROM documents, t
+    ), l AS (
+        SELECT id, doc_id, tree, sha256(array_to_string(head, '') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+               CASE WHEN crc % 5 = 0 THEN sha256(array_to_string(head, '') || coalesce(octet_length(encode(text)) || ':' ||
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+        FROM d
+    ), p AS (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS cnt FROM l
+    ), n AS (
+        SELECT 0 AS level, tree, pos, cnt, leaf AS hash FROM p
+        UNION ALL
+        SELECT level + 1, tree, pos // 16, (cnt + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)) FROM n WHERE cnt > 1 GROUP BY level, tree, pos // 16, cnt
+    ), r AS (
+        SELECT tree, hash AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS cnt FROM n WHERE cnt = 1
+    ), m AS (
+        SELECT 0 AS level, pos, cnt, subroot AS hash FROM r
+        UNION ALL
+        SELECT level + 1, pos // 16, (cnt + 15) // 16, sha256(string_agg(hash, '' ORDER BY pos)) FROM m WHERE cnt > 1 GROUP BY level, pos // 16, cnt
+    ), s AS (
+        SELECT a.level, a.tree, a.pos, coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+               coalesce(string_agg(b.hash, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+        FROM (SELECT * FROM n UNION ALL SELECT level, NULL, pos, cnt, hash FROM m) a
+        JOIN (SELECT * FROM n UNION ALL SELECT level, NULL, pos, cnt, hash FROM m) b
+          ON a.level = b.level AND a.tree IS NOT DISTINCT FROM b.tree AND a.pos // 16 = b.pos // 16 AND a.cnt > 1
+        GROUP BY a.level, a.tree, a.pos
+    ), f AS (
+        SELECT id, tree, 0 AS level, pos, coalesce(other, leaf) AS hash, '' AS proof FROM p
+        UNION ALL
+        SELECT f.id, f.tree, f.level + 1, f.pos // 16, sha256(s.l || f.hash || s.r), f.proof || s.l || s.r
+        FROM f JOIN s ON s.tree = f.tree AND s.level = f.level AND s.pos = f.pos
+    ), g AS (
+        SELECT id, f.tree, 0 AS level, r.pos, hash, proof FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level DESC) AS k FROM f) f JOIN r ON r.tree = f.tree WHERE k = 1
+        UNION ALL
+        SELECT g.id, g.tree, g.level + 1, g.pos // 16, sha256(s.l || g.hash || s.r), g.proof || s.l || s.r
+        FROM g JOIN s ON s.tree IS NULL AND s.level = g.level AND s.pos = g.pos
+    ), e AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY level DESC) AS k FROM g) WHERE k = 1
+    )
+    SELECT doc_id, leaf, subroot, root.hash AS root, sha256(proof) AS proof_sha256, e.hash AS folded_root, e.hash = root.hash AS verified
+    FROM l JOIN e USING (id) JOIN r ON r.tree = l.tree JOIN (SELECT hash FROM m WHERE cnt = 1) root ON true
+    """,
+)
 def op12_merkle_manifest(spark, sf_dir):
     return manifest.document_manifest(table(spark, sf_dir, "documents"))

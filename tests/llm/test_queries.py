@@ -12,6 +12,6 @@ def test_same_as_sql(name, spark, sf_dir):
 
 def test_all_are_registered():
     known = entry_points.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in known) == 1
     assert "pipeline" in known
