@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+from colscope.columns import rows_of, split_by_role
 from colscope.functions.arrays import array_first_term, array_indicators
 from colscope.functions.dates import date_bucketize, date_span
+from colscope.functions.typing import cast_by_role
+from colscope.operators import stages
 from colscope.operators.aggregates import terms_topk
 from colscope.operators.encode import fit_string_index
 from colscope.operators.entropy import entropy_numeric
@@ -257,3 +261,94 @@ def stream_row_functions(spark, sf):
     run = out.select("event_id", "ts_ms", "`kinds-str`", "`kinds-click`").writeStream.format("parquet")
     run.option("checkpointLocation", f"{target}-log").trigger(availableNow=True).start(target).awaitTermination()
     return spark.read.parquet(target)
+
+
+@query(
+    "entry_metadata",
+    """SELECT 'o_orderstatus_quali' AS "column", 'string' AS type, CAST(NULL AS VARCHAR) AS format, CAST(2 AS BIGINT) AS "values",
+ CAST(count(o_orderstatus) AS BIGINT) AS n FROM orders
+ UNION ALL SELECT 'o_orderpriority_quali', 'own', NULL, NULL, CAST(count(o_orderpriority) AS BIGINT) FROM orders
+ UNION ALL SELECT 'o_totalprice_quanti', 'double', NULL, NULL, CAST(count(o_totalprice) AS BIGINT) FROM orders
+ UNION ALL SELECT 'o_orderdate_date', 'date', 'MM/dd/yyyy', NULL, CAST(count(o_orderdate) AS BIGINT) FROM orders""",
+)
+def entry_metadata(spark, sf):
+    """Each cast column keeps its catalog entry, unless it had metadata of its own; with the values it holds."""
+    o = table(spark, sf, "orders").select(
+        "o_orderstatus",
+        F.col("o_orderpriority").alias("o_orderpriority", metadata={"o_orderpriority": {"type": "own"}}),
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.date_format("o_orderdate", "MM/dd/yyyy").alias("o_orderdate"),
+    )
+    entries = {
+        "o_orderstatus": {"type": "string", "values": ["F", "O"]},
+        "o_orderpriority": {"type": "string"},
+        "o_totalprice": {"type": "double"},
+        "o_orderdate": {"type": "date", "format": "MM/dd/yyyy"},
+    }
+    out = cast_by_role(o, entries)
+    rows = []
+    for f in out.schema.fields:
+        e = next(iter(f.metadata.values()))
+        listed = F.lit(len(e["values"]) if e.get("values") else None).cast("bigint")
+        known = [F.lit(f.name).alias("column"), F.lit(e["type"]).alias("type"), F.lit(e.get("format")).cast("string").alias("format")]
+        rows.append(F.struct(*known, listed.alias("values"), F.col(f.name).alias("n")))
+    return rows_of(out.agg(*[F.count(c).alias(c) for c in out.columns]), rows)
+
+
+_ROLES = {
+    "string": ["l_returnflag", "l_linestatus"],
+    "numeric": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    "timestamp": ["l_shipdate"],
+    "date": ["day"],
+    "array": ["flags"],
+    "other": ["late"],
+}
+
+
+@query(
+    "role_split",
+    " UNION ALL ".join(
+        f"""SELECT '{role}' AS role, '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n FROM
+ (SELECT *, CAST(l_shipdate AS DATE) AS day, [l_returnflag] AS flags, l_linenumber > 4 AS late FROM lineitem)"""
+        for role, columns in _ROLES.items()
+        for c in columns
+    ),
+)
+def role_split(spark, sf):
+    """Columns by the kind their types make them, each with its number of values."""
+    df = table(spark, sf, "lineitem").selectExpr("*", "CAST(l_shipdate AS DATE) AS day", "array(l_returnflag) AS flags", "l_linenumber > 4 AS late")
+    rows = [(role, c) for role, columns in split_by_role(df).items() for c in columns]
+    counts = df.agg(*[F.count(c).alias(c) for _, c in rows])
+    return rows_of(counts, [F.struct(F.lit(role).alias("role"), F.lit(c).alias("column"), F.col(c).alias("n")) for role, c in rows])
+
+
+@query(
+    "stages_pipeline",
+    """SELECT o_orderkey, CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN left(o_orderpriority, 1) ELSE 'others' END AS "words-str",
+ o_orderpriority LIKE '%-URGENT' AS "words-URGENT", epoch_us(o_orderdate) // 1000 AS ms, i AS "o_orderstatus-index",
+ CAST(o_totalprice AS DOUBLE) AS o_totalprice_quanti, false AS mostly_null_kept
+ FROM orders JOIN (SELECT o_orderstatus AS s, CAST(row_number() OVER (ORDER BY count(*) DESC, o_orderstatus) - 1 AS DOUBLE) AS i
+ FROM orders GROUP BY 1) ON s = o_orderstatus""",
+)
+def stages_pipeline(spark, sf):
+    """The operators as stages of one pipeline, fitted, and applied."""
+    o = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", F.split("o_orderpriority", "-").alias("words"), "o_orderdate",
+        F.col("o_totalprice").cast("string").alias("o_totalprice"),
+        F.when(F.col("o_orderkey") % 10 == 0, "q").alias("mostly_null"),
+    )
+    model = Pipeline(
+        stages=[
+            stages.NullPolicy(),
+            stages.FirstTerm(inputCol="words", terms=["1", "2"]),
+            stages.TermIndicators(inputCol="words", terms=["URGENT"]),
+            stages.EpochMillis(inputCol="o_orderdate", outputCol="ms"),
+            stages.NonNullIndexer(inputCols=["o_orderstatus"]),
+            stages.RoleCaster(inputCols=["o_totalprice"], entries={"o_totalprice": {"type": "double"}}),
+        ]
+    ).fit(o)
+    out = model.transform(o)
+    return out.select(
+        "o_orderkey", "`words-str`", "`words-URGENT`", "ms", "`o_orderstatus-index`", "o_totalprice_quanti",
+        F.lit("mostly_null" in out.columns).alias("mostly_null_kept"),
+    )

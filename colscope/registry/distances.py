@@ -206,6 +206,13 @@ def mixed_distance_query(spark, sf):
     return _rounded_distance(mixed_distance(_encoded(spark, sf), _INDEX, _BINS, store=False).cooccurrences)
 
 
+@query("mixed_significance", _significance_sql([*_INDEX, *_BINS], _ENCODED, _BINS).replace("round(coo, 6)", "coo").replace("round(coo - 1, 6)", "coo - 1"))
+def mixed_significance(spark, sf):
+    """Significances as the whole analysis gives them, beside its distances."""
+    found = mixed_distance(_encoded(spark, sf), _INDEX, _BINS, store=False).significances
+    return found.withColumns({c: F.round(c, 6) for c in ("significance", "significance_raw")})
+
+
 @query(
     "mixed_kmeans",
     """SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS assigned,
