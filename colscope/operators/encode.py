@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from colscope.columns import counting_key, dtype, present, ref, require_new, require_present
 from colscope.constants import DISTANCE_BINS, MAX_MODEL_LABELS
 from colscope.operators.aggregates import field_terms, terms_topk, value_counts
-from colscope.session import ensure_checkpointing
+from colscope.session import ensure_checkpointing, scratch_path
 
 # Labels per column small enough to broadcast when values are indexed by join.
 HOT_LABELS = 1_000
+# Metadata of an index whose labels are in a table: its path, beside the column's name there.
+DICTIONARY = "dictionary"
 
 
 class TooManyLabels(ValueError):
@@ -109,17 +111,23 @@ def index_wide(df: DataFrame, columns: list[str], max_labels: int = MAX_MODEL_LA
 
 
 def index_labels(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Labels of encoded columns from their metadata: ``column, label, index``."""
-    cols = columns or [
-        f.name for f in df.schema.fields if "vals" in f.metadata.get("ml_attr", {})
-    ]
-    rows = []
-    for c in cols:
-        vals = df.schema[c].metadata.get("ml_attr", {}).get("vals")
-        if vals is None:
-            raise ValueError(f"column {c} carries no labels")
-        rows += [(c, v, float(i)) for i, v in enumerate(vals)]
-    return df.sparkSession.createDataFrame(rows, "column string, label string, index double")
+    """Labels of encoded columns: ``column, label, index``.
+
+    They are read from the columns' metadata, or from the dictionary that metadata name, which holds any number of
+    labels and is there until the application ends. Columns are all with either, unless named.
+    """
+    attrs = {f.name: f.metadata.get("ml_attr", {}) for f in df.schema.fields}
+    cols = columns or [c for c, a in attrs.items() if "vals" in a or DICTIONARY in a]
+    bare = [c for c in cols if "vals" not in attrs[c] and DICTIONARY not in attrs[c]]
+    if bare:
+        raise ValueError(f"column {bare[0]} carries no labels")
+    spark = df.sparkSession
+    rows = [(c, v, float(i)) for c in cols for i, v in enumerate(attrs[c].get("vals", []))]
+    out = spark.createDataFrame(rows, "column string, label string, index double")
+    for c in [c for c in cols if "vals" not in attrs[c]]:
+        found = spark.read.parquet(attrs[c][DICTIONARY]).where(F.col("column") == attrs[c]["dictionary_column"])
+        out = out.unionByName(found.select(F.lit(c).alias("column"), "label", "index"))
+    return out
 
 
 def rank_labels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -154,12 +162,14 @@ def index_by_join(
     Labels are ranked once and stored. The most frequent of each column, at most ``HOT_LABELS``, are
     broadcast under keys of at most 65 characters, so the rows that hold them are not moved to a task of
     their own label; only a column with more labels joins the rest by shuffle, where rows already
-    served are spread evenly instead of meeting in one null partition. The number of labels is kept as
-    metadata, the labels themselves are not.
+    served are spread evenly instead of meeting in one null partition. The labels are written to the shared
+    folder; metadata keep their number and where they are, for ``index_labels``.
     """
     require_new(df, [c + suffix for c in columns])
     ensure_checkpointing(df.sparkSession)
-    labels = rank_labels(df, columns).select("column", counting_key(F.col("label")).alias("label"), "index").checkpoint()
+    at = scratch_path(df.sparkSession, "labels")
+    rank_labels(df, columns).select("column", "label", "index").write.parquet(at)
+    labels = df.sparkSession.read.parquet(at).select("column", counting_key(F.col("label")).alias("label"), "index")
     sizes = {r["column"]: r["n"] for r in labels.groupBy("column").agg(F.count("*").alias("n")).collect()}
     kept = [ref(c) for c in df.columns]
     out = df
@@ -187,7 +197,7 @@ def index_by_join(
             done, size = F.coalesce(done, F.lit(float(size))), size + 1
         elif handle_invalid == "skip":
             out = out.where(done.isNotNull())
-        meta = {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": size}}
+        meta = {"ml_attr": {"type": "nominal", "name": c + suffix, "num_vals": size, DICTIONARY: at, "dictionary_column": c}}
         out = out.select(*kept, done.alias(c + suffix, metadata=meta))
         kept.append(ref(c + suffix))
     return out

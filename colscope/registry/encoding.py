@@ -146,3 +146,15 @@ def prepare_features_codes(spark, sf):
     df = table(spark, sf, "orders")
     frame, _ = encode.prepare_features(df, _QUALI, ["o_totalprice"], keep=["o_orderkey"])
     return frame.drop("features")
+
+
+@query(
+    "index_labels_wide",
+    """WITH n AS (SELECT 'customer-index' AS "column", CAST(o_custkey AS VARCHAR) AS label, count(*) AS n FROM orders GROUP BY 2
+ UNION ALL SELECT 'o_orderpriority-index', o_orderpriority, count(*) FROM orders GROUP BY 2)
+ SELECT "column", label, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, label) - 1 AS DOUBLE) AS index FROM n""",
+)
+def index_labels_wide(spark, sf):
+    """Labels of an index with more of them than the driver may hold, beside one with few."""
+    df = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("customer"), "o_orderpriority")
+    return encode.index_labels(encode.string_index(df, ["customer", "o_orderpriority"], max_labels=10))

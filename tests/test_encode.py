@@ -108,3 +108,11 @@ def test_feature_vector_layout(spark):
 def test_cap_terms(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "x")], "p string, q string")
     assert encode.cap_terms(df, ["p", "q"], 2) == {"p": ["a", "b"]}
+
+
+def test_labels_are_the_same_however_they_are_kept(spark):
+    df = spark.createDataFrame([(f"v{i % 7}" if i % 3 else None, f"w{i % 3}") for i in range(60)], "a string, b string")
+    kept = [{tuple(r) for r in encode.index_labels(encode.string_index(df, ["a", "b"], max_labels=most)).collect()} for most in (100, 5, 1)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 10
+    with pytest.raises(ValueError):
+        encode.index_labels(df, ["a"])
