@@ -77,6 +77,7 @@ class MixedFeatures:
     left_out: list[str] = field(default_factory=list)
     terms: list[str] = field(default_factory=list)
     with_terms: DataFrame | None = None
+    lost_terms: DataFrame | None = None
 
     @property
     def index_columns(self) -> list[str]:
@@ -93,6 +94,18 @@ class MixedFeatures:
         return mixed_distance(self.frame, self.index_columns, self.bin_columns)
 
 
+def unlisted_terms(df: DataFrame, listed: Mapping[str, list[str]]) -> DataFrame:
+    """``column, terms, rows``: for each array column the distinct terms outside its list, and the rows that hold one."""
+    parts = []
+    for c, terms in listed.items():
+        other = F.filter(F.array_distinct(F.array_compact(ref(c))), lambda t: ~t.isin(list(terms)) if terms else F.lit(True))
+        parts.append(F.struct(F.lit(c).alias("column"), F.coalesce(other, F.array().cast("array<string>")).alias("other")))
+    rows = df.select(F.inline(F.array(*parts)))
+    held = rows.groupBy("column").agg(F.count_if(F.size("other") > 0).alias("rows"))
+    found = rows.select("column", F.explode("other").alias("term")).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("terms"))
+    return held.join(found, ["column"], "left").select("column", F.coalesce("terms", F.lit(0)).alias("terms"), "rows")
+
+
 def prepare_mixed(
     df: DataFrame,
     entries: Mapping[str, Mapping] | None = None,
@@ -105,7 +118,8 @@ def prepare_mixed(
     terms ``distances`` can compare as ``<col>-terms``;
     timestamps to numbers; then indexes, one-hot slots, bins and the scaled feature vector. Columns the
     null policy drops take no further part, nor do columns the catalog calls ``other`` or ``coordinates``.
-    Dates count as their midnight and booleans as text; ``left_out`` lists columns of any other type.
+    Dates count as their midnight and booleans as text; ``left_out`` lists columns of any other type, and
+    ``lost_terms`` counts the terms beyond the leading ``terms`` of each array column and the rows that hold them.
     ``keep`` names columns carried along unused.
     """
     entries = entries or {}
@@ -132,6 +146,7 @@ def prepare_mixed(
         for r in terms_topk(work, arrays, terms).select("field", "rank", "term").collect():
             listed[r["field"]].append((r["rank"], r["term"]))
     listed = {c: [t for _, t in sorted(v)] for c, v in listed.items()}
+    lost = unlisted_terms(work, listed) if arrays else None
     quali = [c for c in split_by_role(work)["string"] if c in used]
     quanti = [c for c in split_by_role(work)["numeric"] if c in used]
     multi: list[str] = []
@@ -167,4 +182,4 @@ def prepare_mixed(
     ]
     encoded = model.transform(work)
     frame, with_terms = (encoded.select(*[ref(n) for n in some]) for some in (names, [*names, *held]))
-    return MixedFeatures(frame, model, plan, quali, quanti, multi, left_out, held, with_terms)
+    return MixedFeatures(frame, model, plan, quali, quanti, multi, left_out, held, with_terms, lost)

@@ -58,6 +58,12 @@ def test_prepare_mixed(typed):
     d.release()
 
 
+def test_terms_beyond_the_list_are_reported(typed):
+    out = prepare_mixed(typed, {"multi": {"is_multi": True}}, terms=1)
+    assert {tuple(r) for r in out.lost_terms.collect()} == {("tags", 1, 30), ("multi", 1, 20)}
+    assert {tuple(r) for r in prepare_mixed(typed).lost_terms.collect()} == {("tags", 0, 0), ("multi", 0, 0)}
+
+
 def test_multi_valued_columns_take_part_in_distances(typed):
     out = prepare_mixed(typed, {"multi": {"is_multi": True}}, keep=["id"])
     d = out.distances(multi=True)
