@@ -161,7 +161,7 @@ def entropy_numeric(df: DataFrame, columns: list[str], bins: int = ENTROPY_BINS)
     return _result(sums, columns, "numeric", k, normalised_entropy(F.col("n"), F.col("clogc"), k))
 
 
-def _qualifying(lo: Column, hi: Column, t: T.DataType, monday_rule: bool) -> Column:
+def granularities(lo: Column, hi: Column, t: T.DataType, monday_rule: bool) -> Column:
     """Bit set of the granularities a span qualifies for (bit i stands for ``_LEVELS[i]``)."""
     s = spans(lo, hi, t)
     week = s["weeks"] >= 1
@@ -197,7 +197,7 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
     """
     require_present(df, columns)
     types = [dtype(df, c) for c in columns]
-    masks = [_qualifying(F.col(f"lo{i}"), F.col(f"hi{i}"), t, monday_rule) for i, t in enumerate(types)]
+    masks = [granularities(F.col(f"lo{i}"), F.col(f"hi{i}"), t, monday_rule) for i, t in enumerate(types)]
     fits = _bounds(df, [ref(c) for c in columns]).select(F.array(*masks)).scalar()
     # the time of day is worked out only where sub-day scores need it
     first_fine = _SUB_DAY & -_SUB_DAY
@@ -212,17 +212,21 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
     # the bit set travels in the low bits of the key, so that counting needs no join to it
     unit = f"IF(mask >= {first_fine}, v, cast(floor(v / 86400) AS bigint))"
     counts = _number_counts(stacked, len(columns), f"shiftleft({unit}, {len(_LEVELS)}) + mask")
+    # a class is a day, or a second where a sub-day score is asked for
+    unit = F.shiftright("v", len(_LEVELS))
+    mask = F.coalesce(F.col("v").bitwiseAND((1 << len(_LEVELS)) - 1), F.lit(0))
+    scale = F.when(mask >= first_fine, F.lit(1)).otherwise(F.lit(86400))
+    return score_levels(counts.select("pos", "c", mask.alias("mask"), (unit * scale).alias("seconds")))
+
+
+def score_levels(counts: DataFrame) -> DataFrame:
+    """``pos, granularity, n, k, entropy`` of class counts ``pos, mask, seconds, c``; ``seconds`` is where a class
+    begins and ``mask`` the granularities of its column."""
     listed = ", ".join(f"IF(mask & {1 << i} > 0, '{name}', NULL)" for i, name in enumerate(_LEVELS))
-    levels = (
-        counts.selectExpr(
-            "pos", "c", f"shiftright(v, {len(_LEVELS)}) AS unit",
-            f"coalesce(v & {(1 << len(_LEVELS)) - 1}, 0) AS mask",
-        )
-        .selectExpr(
-            "pos", "c", "unit",
-            f"date_from_unix_date(cast(IF(mask & {_SUB_DAY} > 0, floor(unit / 86400), unit) AS int)) AS day",
-            f"explode_outer(array_compact(array({listed}))) AS granularity",
-        )
+    levels = counts.selectExpr(
+        "pos", "c", "seconds",
+        "date_from_unix_date(cast(floor(seconds / 86400) AS int)) AS day",
+        f"explode_outer(array_compact(array({listed}))) AS granularity",
     )
     key = F.expr(
         """CASE granularity
@@ -230,9 +234,9 @@ def entropy_date_levels(df: DataFrame, columns: list[str], monday_rule: bool = T
              WHEN 'month' THEN year(day) * 12 + month(day)
              WHEN 'week' THEN unix_date(trunc(day, 'week'))
              WHEN 'day' THEN unix_date(day)
-             WHEN 'hour' THEN floor(unit / 3600)
-             WHEN 'minute' THEN floor(unit / 60)
-             ELSE unit
+             WHEN 'hour' THEN floor(seconds / 3600)
+             WHEN 'minute' THEN floor(seconds / 60)
+             ELSE seconds
            END"""
     )
     per_key = levels.groupBy("pos", "granularity", key.alias("v")).agg(F.sum("c").alias("c"))
@@ -245,7 +249,11 @@ def entropy_date(df: DataFrame, columns: list[str], monday_rule: bool = True) ->
 
     Granularities with a single class are ignored. ``classes`` belongs to the granularity chosen.
     """
-    levels = entropy_date_levels(df, columns, monday_rule)
+    return smallest_entropy(entropy_date_levels(df, columns, monday_rule), columns)
+
+
+def smallest_entropy(levels: DataFrame, columns: list[str]) -> DataFrame:
+    """The best of each column's granularities as ``column, kind, n, classes, entropy``."""
     scored = F.col("granularity").isNotNull() & F.col("entropy").isNotNull()
     best = levels.groupBy("pos").agg(
         F.max("n").alias("n"), F.min(F.when(scored, F.struct("entropy", "k"))).alias("best")

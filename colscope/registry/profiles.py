@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colscope.operators.aggregates import combined_agg, stats_agg, terms_topk, value_counts
+from colscope.operators.datecounts import date_bounds, date_counts, entropy_of_counts, merge_date_counts
 from colscope.operators.entropy import (
     entropy_categorical,
     entropy_date,
@@ -257,3 +258,31 @@ def entropy_profile_gaps(spark, sf):
 @query("entropy_texts", _union([_cat_sql(c, "documents") for c in ("text", "lang", "source")]))
 def entropy_texts(spark, sf):
     return _rounded(entropy_categorical(table(spark, sf, "documents"), ["text", "lang", "source"]))
+
+
+def _counted(spark, sf):
+    """Days of two tables' dates, one table counted part by part as its rows would arrive, and merged."""
+    lines = table(spark, sf, "lineitem").selectExpr("coalesce(l_linestatus, '') AS status", "cast(l_shipdate AS date) AS l_shipdate")
+    parts = [lines.where("status = 'O'"), lines.where("status = 'F'"), lines.where("status NOT IN ('O', 'F')")]
+    orders = table(spark, sf, "orders").selectExpr("cast(o_orderdate AS date) AS o_orderdate")
+    return merge_date_counts(date_counts(orders, ["o_orderdate"]), *[date_counts(p, ["l_shipdate"]) for p in parts])
+
+
+def _days_sql(select: str) -> str:
+    dates = {"l_shipdate": "lineitem", "o_orderdate": "orders"}
+    return _union([f"""SELECT '{c}' AS "column", {select.format(d=f"CAST({c} AS DATE)", t=t)}""" for c, t in dates.items()])
+
+
+@query("date_counts_merged", _days_sql("{d} AS day, count(*) AS n FROM {t} WHERE {d} IS NOT NULL GROUP BY {d}"))
+def date_counts_merged(spark, sf):
+    return _counted(spark, sf)
+
+
+@query("date_bounds_merged", _days_sql("min({d}) AS first, max({d}) AS last, count({d}) AS n FROM {t}"))
+def date_bounds_merged(spark, sf):
+    return date_bounds(_counted(spark, sf))
+
+
+@query("entropy_date_merged", f"SELECT * FROM ({_LINE_DATE}) UNION ALL SELECT * FROM ({_date_sql('o_orderdate', 'orders', _LONG)})")
+def entropy_date_merged(spark, sf):
+    return _rounded(entropy_of_counts(_counted(spark, sf), ["l_shipdate", "o_orderdate"]))
