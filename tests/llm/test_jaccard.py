@@ -14,9 +14,9 @@ def gram_set(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
 
 
-def brute(rows, percent=90):
+def brute(rows, percent=90, n=3):
     """Sizes, and the smallest id linked to each; rows that share an id are one node."""
-    s = [(i, gram_set(t)) for i, t in rows if i is not None]
+    s = [(i, gram_set(t, n)) for i, t in rows if i is not None]
     root = {i: i for i, _ in s}
 
     def find(x):
@@ -29,7 +29,7 @@ def brute(rows, percent=90):
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return sorted((-1 if i is None else i, len(gram_set(t)), -1 if i is None else find(i)) for i, t in rows)
+    return sorted((-1 if i is None else i, len(gram_set(t, n)), -1 if i is None else find(i)) for i, t in rows)
 
 
 def result(df, **options):
@@ -104,3 +104,18 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r["node"]: r["component"] for r in components(df).collect()} == {x: find(x) for x in list(root)}
     assert components(df.limit(0)).collect() == []
+
+
+def test_five_words_and_four_fifths(spark):
+    rng = random.Random(12)
+    rows = []
+    for n in (3, 5, 9, 30, 60, 150, 400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        for edits in (0, 1, 1, 2, 3, 5, 8, 8, 12):
+            w = list(base)
+            for _ in range(edits):
+                w[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, None), (901, ""), (None, rows[-1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(df, n=5, percent=80) == brute(rows, 80, 5)
