@@ -6,8 +6,7 @@ of the pieces' probabilities in a language. These come from expectation-maximisa
 counts of labelled texts. A text's score is the posterior of its best language, all being as likely beforehand.
 
 Learned from at most about ``SAMPLE_DOCS`` texts of each language, chosen by a hash of their id; every text is
-scored whole. Runs of more than ``LONGEST`` characters are cut there. A model holds a table of languages by
-pieces.
+scored whole, and so is every run of letters, however long. A model holds a table of languages by pieces.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is any text if nothing could be
 learned; equal languages go to the first by code point; rows with a null or empty id are
@@ -33,8 +32,9 @@ from colscope.llm.words import steps, words
 
 SAMPLE_DOCS = 4_000
 ROUNDS = 3
-#: Characters of a run of letters that are segmented together, U+2581 included.
-LONGEST = 32
+#: Characters after which probabilities are divided anew, and characters, fillers included, of words segmented together.
+STRIDE = 8
+CELLS = 150_000
 SMOOTHING = 0.05
 #: Probability of a character that is no piece.
 UNKNOWN = 1e-7
@@ -88,7 +88,11 @@ def _spell(strings: list[str]) -> np.ndarray:
 
 
 class Segmenter:
-    """Pieces at every place of a batch of words."""
+    """Pieces at every place of a batch of words.
+
+    Probabilities of long words are held in doubles by dividing what is open by its greatest value every ``STRIDE``
+    characters; the logarithms of these divisors are kept, so a word may have any length.
+    """
 
     def __init__(self, pieces: Pieces, strings: list[str]):
         code = _spell(strings)
@@ -96,55 +100,91 @@ class Segmenter:
         n, width = code.shape
         value = _char_values(code)
         ahead = np.zeros((n, width + 1), np.uint64)
-        powers = np.cumprod(np.append(np.uint64(1), np.full(width, _PRIME)))
+        longest = min(pieces.longest, width)
+        powers = np.cumprod(np.append(np.uint64(1), np.full(longest, _PRIME)))
         for i in range(width):
             ahead[:, i + 1] = ahead[:, i] * _PRIME + value[:, i]
-        self.width, self.at = width, {}
         none = len(pieces.hashes)
-        for length in range(1, min(pieces.longest, width) + 1):
-            for i in range(width - length + 1):
-                rows = np.flatnonzero(self.size >= i + length)
-                key = ahead[rows, i + length] - ahead[rows, i] * powers[length]
-                k = np.searchsorted(pieces.hashes, key)
-                k[k == none] = 0
-                ok = pieces.hashes[k] == key
-                if length == 1:  # a character is always a way on
-                    self.at[i, length] = rows, np.where(ok, k, none)
-                elif ok.any():
-                    self.at[i, length] = rows[ok], k[ok]
-        self.steps = sorted(self.at)
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """alpha[i]: words by languages, the probability of the first i characters; p: pieces by languages."""
+        found = []
+        for length in range(1, longest + 1):
+            key = ahead[:, length:] - ahead[:, :-length] * powers[length]
+            within = np.arange(width - length + 1) + length <= self.size[:, None]
+            rows, at = np.nonzero(within)
+            key = key[rows, at]
+            k = np.searchsorted(pieces.hashes, key)
+            k[k == none] = 0
+            ok = pieces.hashes[k] == key
+            if length == 1:  # a character is always a way on
+                k, ok = np.where(ok, k, none), np.ones(len(k), bool)
+            found.append((at[ok], np.full(int(ok.sum()), length), rows[ok], k[ok]))
+        at, length, rows, k = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(at, kind="stable")
+        self.width, self.longest = width, longest
+        self.length, self.rows, self.k = length[order], rows[order], k[order]
+        self.edges = np.searchsorted(at[order], np.arange(width + 1))
+
+    def _from(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, ends and pieces of what begins at place ``i``."""
+        some = slice(self.edges[i], self.edges[i + 1])
+        return self.rows[some], self.length[some] + i, self.k[some]
+
+    def forward(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha[i]: words by languages, the probability of the first i characters over exp(logs[i // STRIDE]);
+        p: pieces by languages."""
         alpha = np.zeros((self.width + 1, len(self.size), p.shape[1]))
+        logs = np.zeros((self.width // STRIDE + 1, *alpha.shape[1:]))
         alpha[0] = 1
-        for i, length in self.steps:
-            rows, k = self.at[i, length]
-            alpha[i + length, rows] += alpha[i, rows] * p[k]
-        return alpha
+        for i in range(self.width + 1):
+            if i and i % STRIDE == 0:
+                open_ = alpha[i : i + self.longest]
+                most = open_.max(axis=0)
+                most[most == 0] = 1  # words that have ended
+                open_ /= most
+                logs[i // STRIDE] = logs[i // STRIDE - 1] + np.log(most)
+            if i < self.width:
+                rows, end, k = self._from(i)
+                alpha[end, rows] += alpha[i, rows] * p[k]
+        return alpha, logs
+
+    def log_total(self, p: np.ndarray) -> np.ndarray:
+        """Logarithm of the probability of each word in each language."""
+        alpha, logs = self.forward(p)
+        every = np.arange(len(self.size))
+        return np.log(alpha[self.size, every]) + logs[self.size // STRIDE, every]
 
     def total(self, p: np.ndarray) -> np.ndarray:
-        return self.forward(p)[self.size, np.arange(len(self.size))]
+        return np.exp(self.log_total(p))
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece; counts: of the words in each language."""
-        alpha = self.forward(p)
-        z = alpha[self.size, np.arange(len(self.size))]
-        beta = np.zeros_like(alpha)
-        beta[self.size, np.arange(len(self.size))] = counts / z
+        alpha, logs = self.forward(p)
+        every = np.arange(len(self.size))
+        beta = np.zeros_like(alpha)  # over what alpha has been divided by, times counts and over the words' probability
+        beta[self.size, every] = counts / alpha[self.size, every]
         out = np.zeros_like(p)
-        for i, length in reversed(self.steps):
-            rows, k = self.at[i, length]
-            through = p[k] * beta[i + length, rows]
+        for i in range(self.width - 1, -1, -1):
+            rows, end, k = self._from(i)
+            through = p[k] * beta[end, rows]
+            later = end // STRIDE
+            if later.max(initial=0) > i // STRIDE:
+                through *= np.exp(logs[i // STRIDE, rows] - logs[later, rows])
             np.add.at(out, k, through * alpha[i, rows])
-            beta[i, rows] += through
+            np.add.at(beta[i], rows, through)
         return out
 
 
-def _parts(word: str) -> list[str]:
-    """A run of letters as what is segmented."""
-    word = "▁" + word
-    return [word[k : k + LONGEST] for k in range(0, len(word), LONGEST)]
+def _alike(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of words in groups of similar sizes, none with more than ``CELLS`` characters and fillers but those of one word."""
+    order = np.argsort(sizes, kind="stable")
+    a = 0
+    while a < len(order):
+        # the last of a group is its longest
+        step = max(1, CELLS // int(sizes[order[a]] + 2))
+        b = min(len(order), a + step)
+        while b > a + 1 and (b - a) * int(sizes[order[b - 1]] + 2) > CELLS:
+            b = a + max(1, (b - a) // 2)
+        yield order[a:b]
+        a = b
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -193,16 +233,13 @@ def fit(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, rounds
         def expect(batches: Iterator[pa.RecordBatch], p=p) -> Iterator[pa.RecordBatch]:
             got = np.zeros_like(p)
             for b in batches:
-                for at in range(0, b.num_rows, 5000):
-                    part = b.slice(at, 5000)
-                    strings, count = [], []
-                    for lang, word, n in zip(*[part.column(c).to_pylist() for c in ("lang", "word", "n")]):
-                        for s in _parts(word):
-                            strings.append(s)
-                            count.append((column[lang], n))
-                    by_lang = np.zeros((len(strings), len(langs)))
-                    by_lang[np.arange(len(strings)), [c for c, _ in count]] = [n for _, n in count]
-                    got += Segmenter(pieces, strings).expected(p, by_lang)
+                found = b.column("word").to_pylist()
+                of = np.array([column[x] for x in b.column("lang").to_pylist()], np.int64)
+                n = b.column("n").to_numpy()
+                for some in _alike(np.array([len(w) for w in found], np.int64)):
+                    by_lang = np.zeros((len(some), len(langs)))
+                    by_lang[np.arange(len(some)), of[some]] = n[some]
+                    got += Segmenter(pieces, ["▁" + found[j] for j in some]).expected(p, by_lang)
             k, lang = np.nonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(lang, pa.int32()), pa.array(got[k, lang])], ["k", "lang", "v"])
 
@@ -210,7 +247,7 @@ def fit(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS, rounds
         p = np.full_like(p, SMOOTHING)
         p[summed["k"], summed["lang"]] += summed["v"]
         p /= p[:-1].sum(axis=0)
-        p = np.maximum(p, 1e-9)  # so that no product of LONGEST factors is 0
+        p = np.maximum(p, 1e-9)  # so that no product of factors within a few strides is 0
     p[-1] = UNKNOWN
     return Model(langs, pieces, p)
 
@@ -234,12 +271,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 keys = unique.tolist()
                 fresh = [k for k, x in enumerate(keys) if x not in known]
                 data = w.data.tobytes()
-                for a in range(0, len(fresh), 5000):
-                    some = fresh[a : a + 5000]
-                    cut = [_parts(data[w.start[at[k]] : w.end[at[k]]].decode()) for k in some]
-                    value = np.log(Segmenter(m.pieces, [s for c in cut for s in c]).total(m.p))
-                    first = np.cumsum([0] + [len(c) for c in cut])[:-1]
-                    value = np.add.reduceat(value, first, axis=0)
+                runs = [data[w.start[at[k]] : w.end[at[k]]].decode() for k in fresh]
+                for group in _alike(np.array([len(r) for r in runs], np.int64)):
+                    some = [fresh[j] for j in group]
+                    value = Segmenter(m.pieces, ["▁" + runs[j] for j in group]).log_total(m.p)
                     while used + len(some) > len(table):
                         table = np.vstack([table, np.zeros_like(table)])
                     table[used : used + len(some)] = value

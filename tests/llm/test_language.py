@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -47,6 +48,53 @@ def test_forward_sums_all_segmentations():
     assert used == pytest.approx(sum(map(len, words)) * np.ones(2))
 
 
+def test_long_runs_are_segmented_whole():
+    names = ("▁", "a", "b", "ab", "ba", "aba", "abab")
+    pieces = language.Pieces(np.array(sorted(language._hash(s) for s in names), np.uint64), 4)
+    p = np.random.default_rng(2).random((8, 3)) * 1e-6
+    at = {h: k for k, h in enumerate(pieces.hashes.tolist())}
+
+    def exact(word, lang):
+        ways = [Fraction(1)] + [Fraction(0)] * len(word)
+        for i in range(len(word)):
+            for n in range(1, min(4, len(word) - i) + 1):
+                k = at.get(language._hash(word[i : i + n]), 7 if n == 1 else None)
+                if k is not None:
+                    ways[i + n] += ways[i] * Fraction(float(p[k, lang]))
+        return math.log(ways[-1].numerator) - math.log(ways[-1].denominator)
+
+    words = ["▁" + "ab" * 150, "▁a", "▁" + "abz" * 20, "▁" + "b" * 7, "▁" + "ba" * 4 + "z"]
+    s = language.Segmenter(pieces, words)
+    got = s.log_total(p)
+    for i, w in enumerate(words):
+        for lang in range(3):
+            assert math.isclose(got[i, lang], exact(w, lang), rel_tol=1e-9)
+    expected = s.expected(p, np.full((len(words), 3), 2.0))
+    used = sum(expected[at[language._hash(x)]] * len(x) for x in names) + expected[7]
+    assert used == pytest.approx(2.0 * sum(map(len, words)) * np.ones(3))
+    # alone or in a group, a word has the same expected uses
+    one = sum(language.Segmenter(pieces, [w]).expected(p, np.full((1, 3), 2.0)) for w in words)
+    assert np.allclose(one, expected)
+
+
+def test_groups_of_words_are_whole_and_bounded():
+    sizes = np.random.default_rng(3).integers(1, 40, 30_000)
+    sizes[[5, 900]] = 400_000
+    groups = list(language._alike(sizes))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(len(sizes)))
+    assert all(len(g) == 1 or len(g) * (sizes[g].max() + 2) <= language.CELLS for g in groups)
+    assert list(language._alike(np.array([], np.int64))) == []
+
+
+def test_a_very_long_run(spark):
+    rows = [(0, "one two three " * 40, "en"), (1, "un deux trois " * 40, "fr"), (3, "deux" * 20_000, "fr"), (7, "three" * 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs, model_path())
+    found = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
+    assert all(found[i]["lang_pred"] == lang for i, _, lang in rows if lang)
+    assert all(0 < r["score"] <= 1 for r in found.values())
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     model = language.fit(docs, model_path())
