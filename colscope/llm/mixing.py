@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colscope.columns import ref
 from colscope.llm.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +30,7 @@ MOST_REPEATS = 3
 WEIGHTS = (1, 2, 3)
 
 RESULTS = ["size", "source_size", "target", "taken"]
+CHOICE = ["repeats", "offset", "blocks", "extra", "start"]
 
 
 def text_size(text: Column) -> Column:
@@ -107,8 +109,9 @@ def _plan(sizes: DataFrame, block_words: int, shard_words: int, weights: tuple[i
 
 
 def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
+    kept = [F.struct(*map(ref, keep)).alias("_kept")] if keep else []  # whatever these columns are called
     return docs.select(
-        *keep, F.col("source").alias("_source"), F.col("doc_id").alias("_id"), text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("_text")
+        *kept, F.col("source").alias("_source"), F.col("doc_id").alias("_id"), text_size(F.col("text")).alias("size"), F.xxhash64("text").alias("_text")
     )
 
 
@@ -124,7 +127,7 @@ def mix(
     """The columns of ``keep`` (default doc_id and source), ``size``, ``source_size``, ``target``, ``taken``,
     and the choice itself: ``repeats`` (whole copies), ``offset`` (of the text in its shard), ``blocks``,
     ``extra``, ``start`` (the blocks of its shard, how many in a row are taken once more, and the seeded first one)."""
-    keep = [c for c in (keep or ["doc_id", "source"]) if c not in RESULTS]
+    keep = [c for c in (keep or ["doc_id", "source"]) if c not in (*RESULTS, *CHOICE)]
     sized = stored(_sized(docs, [] if "text" in keep else keep), "mix-sizes")
     totals = sized.groupBy("_source").agg(F.sum("size").alias("_total"), F.count(F.lit(1)).alias("_rows"))
     # as many shards as the source's words, or its rows if it has few words, ask for
@@ -151,7 +154,7 @@ def mix(
     begin, end = taken_words(block_words)
     more = end - begin
     laid = laid.withColumn("taken", (F.col("repeats") * F.col("size") + more).cast("long"))
-    return laid.select(*keep, "size", "source_size", "target", "taken", "repeats", "offset", "blocks", "extra", "start")
+    return laid.select(*[F.col("_kept").getField(c).alias(c) for c in keep], *RESULTS, *CHOICE)
 
 
 def taken_words(block_words: int) -> tuple[Column, Column]:
@@ -163,9 +166,11 @@ def taken_words(block_words: int) -> tuple[Column, Column]:
 def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: a whole copy for each repeat, and one more row for
     what is taken once more: the text as it is, or if the run of blocks ends in it, its words there with what is between them. Documents of which nothing is taken go. Columns named as a
-    result of ``mix`` are left out; ``n_chars``, if there, is that of the new text."""
-    chosen = mix(docs, block_words=block_words, keep=docs.columns, **options)
+    result of ``mix`` are left out, others pass through, whatever they are called; ``n_chars``, if there, is that of the new text."""
     names = [c for c in docs.columns if c not in RESULTS]
+    rest = [c for c in names if c not in ("text", "n_chars")]
+    boxed = docs.select("doc_id", "source", "text", F.struct(*map(ref, rest)).alias("_row"))
+    chosen = mix(boxed, block_words=block_words, keep=["text", "_row"], **options)
     begin, end = taken_words(block_words)
     words = F.regexp_extract_all("text", F.lit(WORD + SPACE), F.lit(0))
     cut = F.regexp_replace(F.array_join(F.slice(words, (begin + 1).cast("int"), (end - begin).cast("int")), ""), SPACE + "$", "")
@@ -173,5 +178,5 @@ def mixed_texts(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> D
     part = F.when(F.col("taken") > F.col("repeats") * F.col("size"), F.array(some)).otherwise(F.array().cast("array<string>"))
     copies = F.concat(F.array_repeat("text", F.col("repeats").cast("int")), part)
     texts = chosen.withColumn("_taken_text", F.explode(copies))
-    n_chars = {"n_chars": F.length("_taken_text").cast("long")} if "n_chars" in names else {}
-    return texts.withColumns({"text": F.col("_taken_text")} | n_chars).select(*names)
+    new = {"text": F.col("_taken_text"), "n_chars": F.length("_taken_text").cast("long")}
+    return texts.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in names])

@@ -97,3 +97,17 @@ def test_texts_stay_whole(spark):
     assert all(r["text"] in texts[r["doc_id"]] for r in rows)
     for s in "abc":  # the run of blocks cuts two documents of a shard at most
         assert sum(r["text"] != texts[r["doc_id"]] for r in rows if r["source"] == s) <= 2
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["shard", "start", "offset", "blocks", "repeats", "extra", "_kept", "_row", "_source", "_id", "_place", "a.b"]
+    rows = [(i, f"w{i} " * (i % 7 + 1), "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(40)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.mixed_texts(docs)
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert found and all(tuple(r)[3:] == rows[r["doc_id"]][3:] for r in found)
+    kept = mixing.mix(docs, keep=["doc_id", "shard", "_place", "start"])
+    assert kept.columns == ["doc_id", "shard", "_place", *mixing.RESULTS, *mixing.CHOICE]
+    assert all((r["shard"], r["_place"]) == (f"shard{r['doc_id']}", f"_place{r['doc_id']}") for r in kept.collect())
