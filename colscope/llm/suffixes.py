@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colscope.columns import ref
 from colscope.llm.runs import RUN_PAIRS, bucket_of, from_planes, pack_sorted, planes, unpack_sorted
 from colscope.llm.scratch import partitions
 from colscope.llm.words import mix, steps, text_bytes
@@ -434,12 +435,19 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     return runs.repartition(partitions(session), "bucket").mapInArrow(combined, "rid long, s int, e int")
 
 
+def _spanned(docs: DataFrame, length: int) -> DataFrame:
+    """(row, spans): the rows of ``docs`` as they are, and an array of (s, e), null where nothing repeats. Rows are
+    told apart by a hash of id and text; those that agree in both have the same spans."""
+    rid = F.xxhash64("doc_id", "text")
+    found = repeated_spans(docs.select(rid.alias("rid"), "text"), length).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    keyed = docs.select(F.struct(*map(ref, docs.columns)).alias("row"), rid.alias("of"))
+    return keyed.join(found, F.col("rid") == F.col("of"), "left").select("row", "spans")
+
+
 def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with ``spans``: array of (s, e), null where nothing repeats. Rows are told apart by a hash of id and
-    text; those that agree in both have the same spans."""
-    keyed = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = repeated_spans(keyed.select("rid", "text"), length).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return keyed.join(found.withColumnRenamed("rid", "of"), F.col("rid") == F.col("of"), "left").drop("rid", "of")
+    """``docs`` with ``spans`` (see ``_spanned``), in place of a column of this name."""
+    rest = [c for c in docs.columns if c != "spans"]
+    return _spanned(docs.select(*map(ref, rest)), length).select(*[F.col("row").getField(c).alias(c) for c in rest], "spans")
 
 
 def _kept(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple[list[bytes], int, int]:
@@ -454,10 +462,11 @@ def _kept(text: bytes, s: np.ndarray, e: np.ndarray) -> tuple[list[bytes], int,
 
 def cut(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but its text, with ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, and
-    the remaining ``text`` if asked for (a character cut apart goes with what was removed)."""
+    the remaining ``text`` if asked for (a character cut apart goes with what was removed). Columns named as a result
+    are replaced, others pass through, whatever they are called."""
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    keep = [c for c in docs.columns if c not in [*results, "text", "rid", "of", "spans"]]
-    schema = T.StructType([docs.schema[c] for c in keep])
+    keep = [c for c in docs.columns if c not in [*results, "text"]]
+    schema = T.StructType().add("kept", T.StructType([docs.schema[c] for c in keep]))
     for c in results[:3]:
         schema = schema.add(c, T.LongType())
     schema = schema.add("kept_sha256", T.StringType())
@@ -481,11 +490,13 @@ def cut(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataF
                     out[c].append(v)
                 if with_text:
                     out["text"].append(b"".join([p.decode("utf-8", "ignore").encode() for p in parts]).decode() if gone else text.decode())
-            columns = [*[b.column(c) for c in keep], *[pa.array(out[c], pa.int64()) for c in results[:3]], pa.array(out["kept_sha256"], pa.string())]
-            names = [*keep, *results]
+            columns = [b.column("kept"), *[pa.array(out[c], pa.int64()) for c in results[:3]], pa.array(out["kept_sha256"], pa.string())]
+            names = ["kept", *results]
             if with_text:
                 columns.append(pa.array(out["text"], pa.string()))
                 names.append("text")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return with_spans(docs.select(*keep, "text"), length).select(*keep, "text", "spans").mapInArrow(run, schema)
+    boxed = docs.select(F.struct(*map(ref, keep)).alias("kept"), "doc_id", "text")
+    cleaned = _spanned(boxed, length).select("row.kept", "row.text", "spans").mapInArrow(run, schema)
+    return cleaned.select(*[F.col("kept").getField(c).alias(c) for c in keep], *[c for c in cleaned.columns if c != "kept"])

@@ -69,3 +69,19 @@ def test_loser_tree_sorts_and_knows_what_is_shared():
         assert [s for s, _ in found] == sorted(s for r in runs for s in r)
         for (a, _), (b, share) in zip(found, found[1:]):
             assert share == suffixes.shared_prefix(a, b, 0)
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["rid", "of", "spans", "row", "kept", "s", "e", "n_removed", "a.b"]
+    rows = [(i, "passage " * 40 + str(i), *[f"{c}{i}" for c in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    out = suffixes.cut(docs, with_text=True)
+    others = [c for c in names if c != "n_removed"]
+    assert out.columns == ["doc_id", *others, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    found = out.collect()
+    assert len(found) == 12
+    for r in found:
+        assert [r[c] for c in others] == [f"{c}{r['doc_id']}" for c in others] and r["n_removed"] > 0
+    spanned = suffixes.with_spans(docs)
+    assert spanned.columns == ["doc_id", "text", *[c for c in names if c != "spans"], "spans"]
+    assert all(r["spans"] and r["rid"] == f"rid{r['doc_id']}" for r in spanned.collect())
