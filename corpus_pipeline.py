@@ -40,11 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies stays: that of the smallest id. Rows without an id stay."""
     found = jaccard.join(docs.select("doc_id", "text"))
     gone = found.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = _boxed(docs).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    # rows that share an id are one document
+    rows = _boxed(docs).filter(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    # rows that share an id are one document; those without one, however many, are not gathered
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("doc_id").isNull() | (F.col("nth") == 1))
-    return _unboxed(rows, docs, False)
+    rows = rows.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    return _unboxed(rows.unionByName(_boxed(docs).filter(F.col("doc_id").isNull())), docs, False)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
