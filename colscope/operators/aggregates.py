@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
-from math import prod
+from math import isqrt, prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,8 +142,10 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
     Each unordered pair is counted once and mirrored after counting. When the columns are known to
     have few value combinations, whole tuples are counted first, so each input row is hashed once and
-    only the small table of tuples is split into pairs; otherwise rows are split directly and
-    combined before the shuffle. Rows null in either column of a pair are left out of that pair.
+    only the small table of tuples is split into pairs. Wider tables are cut into blocks of columns
+    that have few combinations each, and the tuples of every two blocks are counted first: a row is
+    expanded once for two blocks, not once for two columns. Columns of unknown arity are blocks of their
+    own. All is combined before the shuffle. Rows null in either column of a pair are left out of that pair.
 
     A column may be an array of terms. A row then counts towards each of its distinct terms with an equal share, so
     that it counts once in all; ``count`` is a double then, and a row without terms is left out like one with a null.
@@ -168,6 +171,9 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
         base = base.groupBy(*names).agg(F.count("*").alias("n"))
         weight = F.sum("n")
     else:
+        blocks = column_blocks(arities)
+        if 2 <= len(blocks) < len(columns):
+            return _blocked_pair_counts(base, columns, blocks)
         base = base.select("*", F.lit(1).alias("n"))
     pairs = list(combinations(range(len(columns)), 2))
     flat = (
@@ -185,12 +191,64 @@ def pair_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return _mirrored(flat.groupBy("pair", "vi", "vj").agg(weight.alias("count")), columns, pairs)
 
 
+def column_blocks(arities: list[int | None], limit: int = isqrt(TUPLE_LIMIT)) -> list[list[int]]:
+    """Places of columns in blocks of at most ``limit`` value combinations, a null counting as a value. Columns of similar
+    arity are put together; one of unknown or greater arity is a block by itself."""
+    known = sorted((k for k, a in enumerate(arities) if a), key=lambda k: (arities[k], k))
+    blocks: list[list[int]] = [[k] for k, a in enumerate(arities) if not a]
+    room = 0
+    for k in known:
+        size = arities[k] + 1
+        if size <= room:
+            blocks[-1].append(k)
+            room //= size
+        else:
+            blocks.append([k])
+            room = limit // size
+    return blocks
+
+
+def _blocked_pair_counts(base: DataFrame, columns: list[str], blocks: list[list[int]]) -> DataFrame:
+    """``pair_counts`` by the tuples of every two blocks. Pairs within a block come from its first two."""
+    element = base.schema[0].dataType.simpleString()
+    tuples, places, done = [], [], set()
+    for a, b in combinations(range(len(blocks)), 2):
+        members = blocks[a] + blocks[b]
+        at = {c: k + 1 for k, c in enumerate(members)}
+        new = [(min(x, y), max(x, y)) for x, y in combinations(members, 2)]
+        new = [xy for xy in new if xy not in done]
+        done.update(new)
+        places.append([{"i": x + 1, "j": y + 1, "a": at[x], "b": at[y]} for x, y in new])
+        tuples.append(F.array(*[F.col(f"c{c}") for c in members]).cast(f"array<{element}>").alias(str(len(tuples) + 1)))
+    counted = (
+        base.select(*tuples)
+        .unpivot([], [ref(str(k + 1)) for k in range(len(tuples))], "two", "t")
+        .groupBy("two", "t").agg(F.count("*").alias("n"))
+    )
+    # one small list for every two blocks, folded into a literal
+    spec = F.from_json(F.lit(json.dumps(places)), "array<array<struct<i:int,j:int,a:int,b:int>>>")
+    flat = (
+        counted.select("n", "t", F.explode(F.element_at(spec, F.col("two").cast("int"))).alias("p"))
+        .select("n", "p.i", "p.j", F.element_at("t", F.col("p.a")).alias("vi"), F.element_at("t", F.col("p.b")).alias("vj"))
+        .where("vi is not null and vj is not null")
+    )
+    summed = flat.groupBy("i", "j", "vi", "vj").agg(F.sum("n").alias("count"))
+    names = F.array(*map(F.lit, columns))
+    a, b = F.element_at(names, F.col("i")), F.element_at(names, F.col("j"))
+    return _both_ways(summed, a, b)
+
+
 def _mirrored(counted: DataFrame, columns: list[str], pairs: list[tuple[int, int]]) -> DataFrame:
     """Counts of both orders of each pair, with the columns' names."""
     left = [x for k, (i, _) in enumerate(pairs) for x in (F.lit(f"p{k}"), F.lit(columns[i]))]
     right = [x for k, (_, j) in enumerate(pairs) for x in (F.lit(f"p{k}"), F.lit(columns[j]))]
     a = F.element_at(F.create_map(*left), F.col("pair"))
     b = F.element_at(F.create_map(*right), F.col("pair"))
+    return _both_ways(counted, a, b)
+
+
+def _both_ways(counted: DataFrame, a: Column, b: Column) -> DataFrame:
+    """``ci, cj, vi, vj, count`` in both orders; a, b: the names of the columns of ``vi`` and ``vj``."""
 
     def row(ci: Column, cj: Column, vi: str, vj: str) -> Column:
         return F.struct(

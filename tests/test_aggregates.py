@@ -1,9 +1,12 @@
+import random
 from collections import Counter
+from itertools import permutations
 
 import pytest
+from pyspark.sql import functions as F
 
 from colscope.operators import aggregates
-from colscope.operators.aggregates import combined_agg, pair_counts, stats_agg, terms_topk, value_counts
+from colscope.operators.aggregates import column_blocks, combined_agg, pair_counts, stats_agg, terms_topk, value_counts
 from colscope.operators.encode import string_index
 
 
@@ -83,3 +86,47 @@ def test_pair_counts_need_two_distinct_columns(spark):
     for cols in (["a"], ["a", "a"], ["a", "z"]):
         with pytest.raises(ValueError):
             pair_counts(df, cols)
+
+
+def nominal(df, arities):
+    """Columns with the number of their categories in their metadata, where it is given."""
+    meta = [{"ml_attr": {"type": "nominal", "num_vals": a}} if a else {} for a in arities]
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata=m) for c, m in zip(df.columns, meta)])
+
+
+def test_blocks_hold_few_combinations():
+    blocks = column_blocks([2, None, 9, 2, 5000, 2, 30, 2, 2, 2, 2, 2])
+    assert sorted(k for b in blocks for k in b) == list(range(12))
+    assert [1] in blocks and [4] in blocks
+    arities = [2, 1, 9, 2, 1, 2, 30, 2, 2, 2, 2, 2]
+    for b in blocks:
+        product = 1
+        for k in b:
+            product *= arities[k] + 1
+        assert product <= 1000
+    assert len(column_blocks([2] * 100)) == 17
+
+
+@pytest.mark.parametrize("unknown", [0, 3])
+def test_a_hundred_columns_are_counted_by_blocks(spark, unknown):
+    rng = random.Random(4)
+    rows = [tuple(rng.choice([0.0, 1.0, None]) for _ in range(100)) for _ in range(60)]
+    names = ["a.b", *[f"x{k}" for k in range(1, 100)]]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names))
+    counted = pair_counts(nominal(df, [None] * unknown + [2] * (100 - unknown)), names)
+    assert counted.columns == ["ci", "cj", "vi", "vj", "count"]
+    expected = Counter()
+    for r in rows:
+        expected.update((names[i], names[j], r[i], r[j]) for i, j in permutations(range(100), 2) if r[i] is not None and r[j] is not None)
+    assert {tuple(r)[:4]: r["count"] for r in counted.collect()} == expected
+
+
+def test_blocks_of_unlike_columns_agree_with_the_plain_way(spark):
+    df = spark.range(400).selectExpr(
+        *[f"cast(id % {k} as int) as i{k}" for k in (3, 7, 11)], *[f"cast(id % {k} as string) as s{k}" for k in (5, 9, 13)],
+        "nullif(id % 6, 2) as n", "id % 10 as m", "id % 4 as o", "cast(id as string) as wide",
+    )
+    plain = {tuple(r) for r in pair_counts(df, df.columns).collect()}
+    known = nominal(df, [3, 7, 11, 5, 9, 13, 6, 10, 4, None])
+    assert {tuple(r) for r in pair_counts(known, df.columns).collect()} == plain
+    assert pair_counts(known.limit(0), df.columns).count() == 0
