@@ -178,7 +178,8 @@ def infer_role(t: T.DataType) -> str:
 def build_catalog(
     df: DataFrame, columns: list[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """Catalog metrics computed from the table: one aggregate, and a count of values per column type.
+    """Catalog metrics computed from the table: one aggregate, and one count of the values of all
+    columns (a second one for arrays).
 
     ``column, type, min_value, max_value, avg, empty_lines, values_count, avg_values_count,
     bounding_box``. Dates are measured in epoch milliseconds. ``values_count`` is the exact number of
@@ -192,7 +193,7 @@ def build_catalog(
     point = "struct<top:double,left:double,bottom:double,right:double>"
     aggs: list[Column] = []
     structs: list[Column] = []
-    exact: dict[str, list[str]] = {}
+    exact: list[str] = []
     for i, name in enumerate(cols):
         t = dtype(df, name)
         role = infer_role(t)
@@ -200,7 +201,7 @@ def build_catalog(
         counted = role in ("terms", "number", "date") and not is_term_array(t)
         distinct = F.approx_count_distinct(c) if counted and approximate else null_n
         if counted and not approximate:
-            exact.setdefault(t.simpleString(), []).append(name)
+            exact.append(name)
         size = F.avg(F.when(c.isNotNull(), F.size(c))) if is_term_array(t) else null_d
         has = F.max(c.isNotNull().cast("double")) if role != "other" and not is_term_array(t) else size
         # a date's bounds are taken before converting, so the scan compares native values
@@ -235,7 +236,7 @@ def build_catalog(
             )
         )
     out = rows_of(df.agg(*aggs), structs)
-    parts = [_distinct_values(df, names) for names in exact.values()]
+    parts = [_distinct_values(df, exact)] if exact else []
     arrays = [c for c in cols if is_term_array(dtype(df, c))]
     if arrays:
         count = F.approx_count_distinct if approximate else F.count_distinct
@@ -250,19 +251,35 @@ def build_catalog(
     )
 
 
+def _typed_key(c: Column, t: T.DataType) -> Column:
+    """A value of any countable type as ``struct<n, d, s>``, one field set; equal keys are equal values of a column."""
+    n, d, s = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
+    if isinstance(t, (T.BooleanType, T.IntegralType)):
+        n = c.cast("bigint")
+    elif isinstance(t, T.DateType):
+        n = F.unix_date(c).cast("bigint")
+    elif isinstance(t, T.TimestampType):
+        n = F.unix_micros(c)
+    elif isinstance(t, (T.FloatType, T.DoubleType)):
+        d = c.cast("double")
+    elif is_text(t):
+        s = counting_key(c.cast("string"))
+    else:  # decimals of one scale, timestamps without a zone
+        s = c.cast("string")
+    return F.when(c.isNotNull(), F.struct(n.alias("n"), d.alias("d"), s.cast("string").alias("s")))
+
+
 def _distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``field, _distinct`` for columns of one type.
+    """``field, _distinct`` for columns of any types, in one scan.
 
-    Values are grouped in long form: one narrow row per value instead of one wide row per value and
-    column, which is what several distinct counts in one aggregate would shuffle.
+    Values are grouped in long form, under a key common to all types: one narrow row per value instead of one wide row
+    per value and column, which is what several distinct counts in one aggregate would shuffle.
     """
-    keys = [present(ref(c), dtype(df, c)) for c in columns]
-    if is_text(dtype(df, columns[0])):
-        keys = [counting_key(k.cast("string")) for k in keys]
+    keys = [_typed_key(present(ref(c), dtype(df, c)), dtype(df, c)) for c in columns]
     values = df.select(*[k.alias(f"c{i}") for i, k in enumerate(keys)])
-    flat = values.unpivot([], values.columns, "pos", "v").where("v is not null")
+    flat = values.unpivot([], values.columns, "pos", "v").where("v is not null").select("pos", "v.*")
     return (
-        flat.groupBy("pos", "v").agg(F.lit(1).alias("one"))
+        flat.groupBy("pos", "n", "d", "s").agg(F.lit(1).alias("one"))
         .groupBy("pos").agg(F.count("one").alias("_distinct"))
         .select(name_of("pos", columns).alias("field"), "_distinct")
     )

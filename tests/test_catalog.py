@@ -103,6 +103,22 @@ def test_build(spark):
     assert (sketch["s"], sketch["n"], sketch["l"]) == (1, 2, 2)
 
 
+def test_values_of_all_types_are_counted_in_one_scan(spark):
+    df = spark.sql(
+        "SELECT id % 7 AS l, cast(id % 5 AS int) AS i, cast(id % 4 AS double) / 3 AS d, cast(id % 3 AS float) AS f,"
+        " cast(id % 6 AS decimal(9, 2)) AS n, id % 2 = 0 AS b, if(id % 9 = 0, null, repeat(cast(id % 8 AS string), 70)) AS s,"
+        " date_add(date '2020-01-01', cast(id % 10 AS int)) AS t, timestamp_micros(id % 11) AS u,"
+        " cast(timestamp_micros(id % 12 * 1000001) AS timestamp_ntz) AS z FROM range(500)"
+    )
+    df = df.withColumn("d", F.when(F.col("l") == 3, F.lit(float("nan"))).when(F.col("l") == 4, F.lit(-0.0)).otherwise(F.col("d")))
+    built = cat.build_catalog(df)
+    rows = {r["column"]: r["values_count"] for r in built.collect()}
+    assert rows == {"l": 7, "i": 5, "d": 4, "f": 3, "n": 6, "b": 2, "s": 8, "t": 10, "u": 11, "z": 12}
+    # the aggregate's scan, and one for the counts of all ten columns
+    plan = built._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 500") == 2
+
+
 def test_document_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, ["x"]), ("b", 5, ["x", "y"])], "s string, n int, l array<string>")
     cat.catalog_document(df).write.text(str(tmp_path / "doc"))
