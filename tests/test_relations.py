@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colscope.constants import FOREST
-from colscope.operators import encode, ordering
+from colscope.operators import encode, ordering, relations
 from colscope.operators.encode import string_index
 from colscope.operators.relations import column_relations, folded_label
 
@@ -124,3 +124,36 @@ def test_wide_labels_are_folded(spark):
     found = {r[0] for r in out.select("code_index").distinct().collect()}
     assert n == 40 and found <= set(range(40)) and len(found) > 30
     assert out.where("code_index < 30").count() == 90
+
+
+def test_equal_rows_are_counted_and_drawn_in_blocks(spark, monkeypatch):
+    """Of a long table trees draw blocks of equal rows; all rows count, and what is planted leads as before."""
+    rows = [(float(i % 7), float(i % 40), float(i % 7) * 2 + float(i % 3)) for i in range(4200)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    held = relations.counted(df.withColumn(relations.WEIGHT, F.lit(1).cast("long")), ["a", "b", "y"])
+    assert held.count() == 840
+    for most, size, blocks in ((4200, 1, 4200), (1400, 3, 1680), (420, 10, 840)):
+        monkeypatch.setattr(relations, "FOREST_ROWS", most)
+        cut, found = relations.in_blocks(held, 4200)
+        got = cut.agg(F.sum(relations.WEIGHT), F.max(relations.WEIGHT), F.count("*")).first()
+        assert found == size and tuple(got) == (4200, min(size, 5), blocks)
+        out = column_relations(df, df.columns, ["y"], numTrees=10).collect()
+        assert min(out, key=lambda r: r["rank"])["feature"] == "a"
+        assert sum(r["importance"] for r in out) == pytest.approx(1.0)
+
+
+def test_a_node_holds_as_many_rows_however_they_are_drawn(spark, monkeypatch):
+    """A leaf needs its ten rows, be they in one block: a class of 40 equal rows can still be told apart."""
+    monkeypatch.setattr(relations, "FOREST_ROWS", 100)
+    rows = [(float(i < 400), float(i % 5), 1.0 if i < 400 else 0.0) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    out = column_relations(df, df.columns, ["y"], numTrees=10).collect()
+    assert next(r for r in out if r["feature"] == "a")["importance"] > 0.9
+
+
+def test_numbers_of_many_values_are_cut_into_even_bins(spark):
+    df = spark.createDataFrame([(float(i), float(i % 30)) for i in range(3000)], "many double, few double")
+    _, _, cuts = relations.filled_numbers(df, df.columns, 30)
+    assert list(cuts) == ["many"] and len(cuts["many"]) == 29
+    sizes = [r["count"] for r in relations.in_bins(df, cuts).groupBy("many").count().collect()]
+    assert len(sizes) == 30 and max(sizes) - min(sizes) <= 12
