@@ -157,3 +157,12 @@ def test_numbers_of_many_values_are_cut_into_even_bins(spark):
     assert list(cuts) == ["many"] and len(cuts["many"]) == 29
     sizes = [r["count"] for r in relations.in_bins(df, cuts).groupBy("many").count().collect()]
     assert len(sizes) == 30 and max(sizes) - min(sizes) <= 12
+
+
+def test_what_occurs_in_one_fold_takes_the_mean_of_all(spark):
+    """A column without repeats has nothing to look up."""
+    df = spark.createDataFrame([(i, float(i), float(i % 4), float(i % 2)) for i in range(200)], "_row long, u double, c double, y double")
+    means, overall = ordering.category_means(df, ["u", "c"], [F.col("y")] * 2)
+    assert overall == [0.5, 0.5] and {r["f"] for r in means.select("f").distinct().collect()} == {1}
+    out = ordering.with_means(df, ["u", "c"], ["mu", "mc"], means, overall, [200, 4])
+    assert {r["mu"] for r in out.collect()} == {0.5}
