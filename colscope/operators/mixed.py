@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from colscope.columns import ref, require_present
@@ -23,9 +25,10 @@ from colscope.session import written
 
 # Values that may meet in one group of the pair join; larger groups are sliced.
 GROUP_SIZE = 4_096
-# Steps that shares are cut into for a join, and what rounding may take from a bound.
-STEPS = 64
-SLACK = 1e-6
+# Values of a block, and their shares, of which every two blocks are compared in one go; sums and meetings held at a time.
+BLOCK_VALUES = 8_192
+BLOCK_SHARES = 1_000_000
+CELL = 4_000_000
 
 
 def conditional_proba(pairs: DataFrame) -> DataFrame:
@@ -122,60 +125,108 @@ def requested_distance(proba: DataFrame, columns: int, pairs: DataFrame) -> Data
     )
 
 
-def _entries(proba: DataFrame) -> DataFrame:
-    """``ci, x, f, p``: the shares of each value, by the value they are shares of."""
+def _packed(proba: DataFrame) -> DataFrame:
+    """``ci, blocks, block, x, size, f, p``: values of a column in blocks of about ``BLOCK_VALUES``, or fewer when they have many
+    shares. A block's values ascend; ``f`` are the hashes of what they are shares of, value after value, as little-endian bytes."""
     mine = proba.where(F.col("ci").isNotNull() & F.col("vi").isNotNull())
-    return mine.select("ci", F.col("vi").alias("x"), F.struct("cj", "vj").alias("f"), "p")
-
-
-def _overlaps(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """``ci, x, y, low`` for pairs of values: the sum of the smaller shares, rounded so that its order is that of the values'
-    shares, not of the rows."""
-    a = entries.withColumnRenamed("p", "px")
-    b = entries.select("ci", F.col("x").alias("y"), "f", F.col("p").alias("py"))
-    met = pairs.join(a, ["ci", "x"]).join(b, ["ci", "y", "f"])
-    return met.groupBy("ci", "x", "y").agg(F.round(F.sum(F.least("px", "py")), 9).alias("low"))
+    mine = mine.groupBy("ci", F.col("vi").alias("x")).agg(F.collect_list(F.struct(F.xxhash64("cj", "vj").alias("f"), "p")).alias("e"))
+    # each value's shares are gathered once; their number is bounded by the values of the other columns
+    mine = written(mine, "entries")
+    sizes = mine.groupBy("ci").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("e")).alias("m"))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_VALUES), F.col("m") / F.lit(BLOCK_SHARES))).cast("int")
+    mine = mine.join(F.broadcast(sizes.select("ci", blocks.alias("blocks"))), "ci")
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    kind = mine.schema["x"].dataType.simpleString()
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("x").combine_chunks()
+        e = t.column("e").combine_chunks()
+        flat = e.flatten()
+        f, p = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        x = t.column("x").combine_chunks()
+        parts = [e.value_lengths().to_numpy().astype("<i8"), f.astype("<i8"), p.astype("<f8")]
+        first = t.select(["ci", "blocks", "block"]).slice(0, 1)
+        first = first.append_column("x", pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
+        for name, part in zip(("size", "f", "p"), parts):
+            first = first.append_column(name, pa.array([part.tobytes()], pa.binary()))
+        return first
+
+    return mine.groupBy("ci", "block").applyInArrow(pack, f"ci string, blocks int, block int, x array<{kind}>, size binary, f binary, p binary")
+
+
+def _best_of(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], n: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, place in y, overlap) of the ``n`` best of block y for each value of block x, ties to the smaller place.
+
+    A block is ``size, f, p``. Some values of x at a time meet the shares of y that are of the same, whose smaller sides are summed.
+    """
+    (xn, xf, xp), (yn, yf, yp) = x, y
+    order = np.argsort(yf, kind="stable")
+    yf, yp, held = yf[order], yp[order], np.repeat(np.arange(len(yn)), yn)[order]
+    low, high = np.searchsorted(yf, xf), np.searchsorted(yf, xf, "right")
+    met, owner = high - low, np.repeat(np.arange(len(xn)), xn)
+    ends = np.concatenate([[0], np.cumsum(met)])[np.concatenate([[0], np.cumsum(xn)])]
+    rows = max(1, CELL // max(1, len(yn)))
+    out, a = [], 0
+    while a < len(xn):
+        # as many values as keep sums and meetings within a bounded size
+        b = min(len(xn), a + rows, max(a + 1, int(np.searchsorted(ends, ends[a] + CELL, "right")) - 1))
+        i = np.arange(*np.searchsorted(owner, [a, b]))
+        m = met[i]
+        at = np.repeat(low[i] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
+        cell = np.repeat((owner[i] - a) * len(yn), m) + held[at]
+        sums = np.bincount(cell, np.minimum(np.repeat(xp[i], m), yp[at]), (b - a) * len(yn)).reshape(b - a, len(yn))
+        # rounded so that their order is that of the shares, not of the rows
+        sums = np.floor(sums * 1e9 + 0.5) / 1e9
+        if same:
+            sums[np.arange(b - a), np.arange(a, b)] = 0.0
+        k = len(yn) - min(n, len(yn))
+        least = np.partition(sums, k, axis=1)[:, k]
+        # what lies above the n-th best, and of what equals it the first
+        r, c = np.nonzero((sums >= least[:, None]) & (sums > 0))
+        v = sums[r, c]
+        o = np.lexsort((c, -v, r))
+        r, c, v = r[o], c[o], v[o]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < n
+        out.append((r[first] + a, c[first], v[first]))
+        a = b
+    return tuple(np.concatenate(z) for z in zip(*out))
 
 
 def nearest_values(proba: DataFrame, columns: int, n: int = 10) -> DataFrame:
     """``column, value, rank, nearest, distance``: for each value the ``n`` values of its column at the smallest distance
     (see ``value_distance``), ties to the smaller one. Values that share nothing, at distance one, are not listed.
 
-    The answer is exact, but only pairs that may belong to it are compared. First each value meets the few
-    that come next to it by the size of some share, which gives a bound t on its n-th best overlap. A better one must then
-
-    * share one of its rarest values: those whose shares, with all more common ones, add up to t or more;
-    * have a share there that differs by at most ``columns - 1 - t``, as a difference in one share of a column takes as much
-      from the column's overlap. Shares are cut into steps, so this is part of the join's key.
+    The answer is exact. Values are packed into blocks, every two blocks of a column meet in a cell, and a cell keeps the ``n`` best of one block
+    for each value of the other: no pair of values is ever a row of a shuffle. The work is quadratic where all values share something.
     """
     if columns < 2:
         raise ValueError("a distance needs at least two columns")
-    entries = written(_entries(proba), "entries")
-    spread = entries.groupBy("ci", "f").agg(F.count(F.lit(1)).alias("df"))
-    known = entries.join(spread, ["ci", "f"])
-    # neighbours by share, in slices of a bounded size: which ones are met matters for the bound alone
-    step = F.floor(F.col("p") * STEPS).cast("int")
-    slices = F.pmod(F.xxhash64("x"), F.ceil(F.col("df") / F.lit(GROUP_SIZE))).cast("int")
-    near = Window.partitionBy("ci", "f", "step", "slice").orderBy("p", "x")
-    met = known.select("ci", "x", "f", "p", step.alias("step"), slices.alias("slice"))
-    met = met.withColumn("after", F.collect_list("x").over(near.rowsBetween(1, n)))
-    met = met.select("ci", F.col("x").alias("a"), F.explode("after").alias("b"))
-    both = F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
-    first = _overlaps(met.select("ci", both).distinct(), entries)
-    best = Window.partitionBy("ci", "x").orderBy(F.desc("low"), "y")
-    bound = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == n).select("ci", "x", F.col("low").alias("t"))
-    # the rarest first; what a value shares with all from one place on
-    onwards = Window.partitionBy("ci", "x").orderBy(F.desc("df"), F.desc("f")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    search = known.withColumn("rest", F.sum("p").over(onwards)).join(bound, ["ci", "x"], "left").fillna(0.0, ["t"])
-    search = search.where(F.col("rest") >= F.col("t") - SLACK)
-    off = F.lit(float(columns - 1)) - F.col("t") + F.lit(SLACK)
-    low, high = (F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), e)) * STEPS).cast("int") for e in (F.col("p") - off, F.col("p") + off))
-    search = search.select("ci", "x", "f", F.col("p").alias("px"), off.alias("off"), F.explode(F.sequence(low, high)).alias("step"))
-    held = entries.select("ci", F.col("x").alias("y"), "f", F.col("p").alias("py"), step.alias("step"))
-    met = search.join(held, ["ci", "f", "step"])
-    met = met.where((F.col("x") != F.col("y")) & (F.abs(F.col("px") - F.col("py")) <= F.col("off")))
-    found = _overlaps(met.select("ci", "x", "y").distinct(), entries)
-    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    spark = proba.sparkSession
+    blocks = written(_packed(proba), "blocks")
+    kind = blocks.schema["x"].dataType.elementType.simpleString()
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    # blocks are few and work long, so they are dealt to more tasks than their bytes ask for
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def dealt(place: str, other: str) -> GroupedData:
+        side = blocks.select("ci", F.col("block").alias(place), every.alias(other), "x", "size", "f", "p")
+        return side.repartition(tasks, "ci", "a", "b").groupBy("ci", "a", "b")
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        i = j = np.zeros(0, np.int64)
+        low, held = np.zeros(0), (x if x.num_rows else y)
+        names = held.column("x").combine_chunks().values
+        left = right = names
+        if x.num_rows and y.num_rows:
+            sides = [[np.frombuffer(t.column(c)[0].as_py(), k) for c, k in (("size", "<i8"), ("f", "<i8"), ("p", "<f8"))] for t in (x, y)]
+            i, j, low = _best_of(*sides, n, x.column("a")[0].as_py() == x.column("b")[0].as_py())
+            left, right = (t.column("x").combine_chunks().values for t in (x, y))
+        ci = pa.array([held.column("ci")[0].as_py()] * len(i), pa.string())
+        return pa.table({"ci": ci, "x": left.take(pa.array(i)), "y": right.take(pa.array(j)), "low": pa.array(low, pa.float64())})
+
+    found = dealt("a", "b").cogroup(dealt("b", "a")).applyInArrow(best, f"ci string, x {kind}, y {kind}, low double")
+    order = Window.partitionBy("ci", "x").orderBy(F.desc("low"), "y")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     distance = F.greatest(F.lit(1.0) - F.col("low") / F.lit(columns - 1), F.lit(0.0))
     return found.select(F.col("ci").alias("column"), F.col("x").alias("value"), "rank", F.col("y").alias("nearest"), distance.alias("distance"))
 

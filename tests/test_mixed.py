@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from colscope.operators import encode, mixed
@@ -139,3 +140,42 @@ def test_nearest_values_are_those_of_all_distances(spark, n, monkeypatch):
         assert [d for d, _ in found] == pytest.approx([d for d, _ in want], abs=1e-7)
         assert len({y for _, y in found}) == len(want)
     proba.unpersist()
+
+
+@pytest.mark.parametrize("n", [2, 9])
+def test_nearest_values_across_blocks(spark, n, monkeypatch):
+    """Blocks of a few values, of which all pairs meet, name the same values as all distances do, ties included."""
+    monkeypatch.setattr(mixed, "BLOCK_VALUES", 7)
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(f"a{rnd.randrange(40)}", rnd.choice("xyz"), f"w{rnd.randrange(12)}") for _ in range(200)], "a string, b string, c string")
+    proba = conditional_proba(pair_counts(df, ["a", "b", "c"])).where("ci = 'a'").cache()
+    assert mixed._packed(proba).count() > 4
+    every = defaultdict(list)
+    for r in value_distance(proba, 3).collect():
+        for x, y in ((r["vx"], r["vy"]), (r["vy"], r["vx"])):
+            if r["distance"] < 1 - 1e-9:
+                every[x].append((round(r["distance"], 8), y))
+    got = defaultdict(list)
+    for r in sorted(mixed.nearest_values(proba, 3, n).collect(), key=lambda r: r["rank"]):
+        got[r["value"]].append((round(r["distance"], 8), r["nearest"]))
+    assert got == {x: sorted(found)[:n] for x, found in every.items()}
+    proba.unpersist()
+
+
+def test_best_of_a_cell_in_small_steps(monkeypatch):
+    """However few sums are held at a time, a cell finds the same; equal overlaps go to the smaller place."""
+    rnd = np.random.default_rng(4)
+    size = rnd.integers(1, 6, 30)
+    f = np.concatenate([rnd.choice(9, k, False) for k in size])
+    p = rnd.integers(1, 4, len(f)) / 8
+    block = (size, f, p)
+    want = mixed._best_of(block, block, 3, True)
+    monkeypatch.setattr(mixed, "CELL", 50)
+    got = mixed._best_of(block, block, 3, True)
+    assert all((a == b).all() for a, b in zip(want, got))
+    table = np.zeros((30, 9))
+    table[np.repeat(np.arange(30), size), f] = p
+    for x in range(30):
+        low = np.minimum(table[x], table).sum(axis=1)
+        best = sorted((-v, y) for y, v in enumerate(low) if y != x and v > 0)[:3]
+        assert [(-v, y) for v, y in best] == [(v, y) for i, y, v in zip(*got) if i == x]
