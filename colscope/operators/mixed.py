@@ -8,27 +8,33 @@ so only values that do occur together with both x and y need to be looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from math import isqrt
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, GroupedData, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colscope.columns import ref, require_present
 from colscope.constants import DISTANCE_BINS
 from colscope.operators.aggregates import pair_counts, term_shares
-from colscope.session import written
+from colscope.session import forget, written
 
 # Values that may meet in one group of the pair join; larger groups are sliced.
 GROUP_SIZE = 4_096
-# Values of a block, and their shares, of which every two blocks are compared in one go; sums and meetings held at a time.
-BLOCK_VALUES = 8_192
-BLOCK_SHARES = 1_000_000
-CELL = 4_000_000
+# Values of a block, and their shares, of which every two blocks are compared in one task; a column is cut further, for all tasks
+# to have work, as long as blocks have so many values.
+BLOCK_VALUES = 131_072
+BLOCK_SHARES = 2_000_000
+LEAST_VALUES = 1_024
+# Sums held at a time, and candidates of the other side.
+CELL = 1 << 18
+HELD = 1 << 20
 
 
 def conditional_proba(pairs: DataFrame) -> DataFrame:
@@ -36,7 +42,8 @@ def conditional_proba(pairs: DataFrame) -> DataFrame:
     # summed before the shuffle and joined back: no task needs all partners of a frequent value
     totals = pairs.groupBy("ci", "cj", "vi").agg(F.sum("count").alias("_total"))
     totals = totals.select(*[F.col(c).alias(f"_{c}") for c in ("ci", "cj", "vi")], "_total")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("ci", "cj", "vi")]
+    # columns have names; by plain equality a choice among them is known on both sides of the join
+    same = [F.col("ci") == F.col("_ci"), F.col("cj") == F.col("_cj"), F.col("vi").eqNullSafe(F.col("_vi"))]
     return pairs.join(totals, reduce(and_, same)).select(
         "ci", "vi", "cj", "vj", (F.col("count") / F.col("_total")).alias("p")
     )
@@ -126,16 +133,19 @@ def requested_distance(proba: DataFrame, columns: int, pairs: DataFrame) -> Data
 
 
 def _packed(proba: DataFrame) -> DataFrame:
-    """``ci, blocks, block, x, size, f, p``: values of a column in blocks of about ``BLOCK_VALUES``, or fewer when they have many
+    """``ci, block, x, size, f, p``: values of a column in blocks of about ``BLOCK_VALUES`` at most, or fewer when they have many
     shares. A block's values ascend; ``f`` are the hashes of what they are shares of, value after value, as little-endian bytes."""
+    spark = proba.sparkSession
     mine = proba.where(F.col("ci").isNotNull() & F.col("vi").isNotNull())
     mine = mine.groupBy("ci", F.col("vi").alias("x")).agg(F.collect_list(F.struct(F.xxhash64("cj", "vj").alias("f"), "p")).alias("e"))
     # each value's shares are gathered once; their number is bounded by the values of the other columns
-    mine = written(mine, "entries")
-    sizes = mine.groupBy("ci").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("e")).alias("m"))
-    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_VALUES), F.col("m") / F.lit(BLOCK_SHARES))).cast("int")
-    mine = mine.join(F.broadcast(sizes.select("ci", blocks.alias("blocks"))), "ci")
-    mine = mine.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    entries = written(mine, "entries")
+    sizes = entries.groupBy("ci").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("e")).alias("m"))
+    # every two blocks are a task: four for each core, unless the column is short
+    wanted = F.least(F.lit(float(isqrt(4 * spark.sparkContext.defaultParallelism) + 1)), F.col("n") / F.lit(LEAST_VALUES))
+    blocks = F.ceil(F.greatest(F.col("n") / F.lit(BLOCK_VALUES), F.col("m") / F.lit(BLOCK_SHARES), wanted)).cast("int")
+    mine = entries.join(F.broadcast(sizes.select("ci", blocks.alias("blocks"))), "ci")
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int")).drop("blocks")
     kind = mine.schema["x"].dataType.simpleString()
 
     def pack(t: pa.Table) -> pa.Table:
@@ -145,86 +155,125 @@ def _packed(proba: DataFrame) -> DataFrame:
         f, p = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
         x = t.column("x").combine_chunks()
         parts = [e.value_lengths().to_numpy().astype("<i8"), f.astype("<i8"), p.astype("<f8")]
-        first = t.select(["ci", "blocks", "block"]).slice(0, 1)
+        first = t.select(["ci", "block"]).slice(0, 1)
         first = first.append_column("x", pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x))
         for name, part in zip(("size", "f", "p"), parts):
             first = first.append_column(name, pa.array([part.tobytes()], pa.binary()))
         return first
 
-    return mine.groupBy("ci", "block").applyInArrow(pack, f"ci string, blocks int, block int, x array<{kind}>, size binary, f binary, p binary")
+    packed = written(mine.groupBy("ci", "block").applyInArrow(pack, f"ci string, block int, x array<{kind}>, size binary, f binary, p binary"), "blocks")
+    forget(entries)
+    return packed
 
 
-def _best_of(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], n: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in x, place in y, overlap) of the ``n`` best of block y for each value of block x, ties to the smaller place.
+def _first_of(at: np.ndarray, other: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, other, v): for each ``at`` the ``n`` greatest v, ties to the smaller ``other``."""
+    o = np.lexsort((other, -v, at))
+    at, other, v = at[o], other[o], v[o]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < n
+    return at[first], other[first], v[first]
+
 
-    A block is ``size, f, p``. Some values of x at a time meet the shares of y that are of the same, whose smaller sides are summed.
+def _best_of_both(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], n: int, same: bool) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(place in x, place in y, overlap) of the ``n`` best of block y for each value of block x, and the other way round; ties to the smaller place.
+
+    A block is ``size, f, p``. Some values of x at a time meet the shares of y that are of the same, whose smaller sides are summed. The
+    sum of two values serves both; ``same`` blocks are compared from one side only.
     """
     (xn, xf, xp), (yn, yf, yp) = x, y
     order = np.argsort(yf, kind="stable")
     yf, yp, held = yf[order], yp[order], np.repeat(np.arange(len(yn)), yn)[order]
     low, high = np.searchsorted(yf, xf), np.searchsorted(yf, xf, "right")
-    met, owner = high - low, np.repeat(np.arange(len(xn)), xn)
-    ends = np.concatenate([[0], np.cumsum(met)])[np.concatenate([[0], np.cumsum(xn)])]
-    rows = max(1, CELL // max(1, len(yn)))
-    out, a = [], 0
+    met, begin = high - low, np.concatenate([[0], np.cumsum(xn)])
+    ends = np.concatenate([[0], np.cumsum(met)])[begin]
+    width = len(yn)
+    rows = max(1, CELL // max(1, width))
+    # the n-th best of the greatest of some groups of values of y is no better than the n-th best of all
+    groups = np.linspace(0, width, min(width, max(64, 4 * n)), endpoint=False, dtype=np.int64)
+    mine, theirs = [], [[np.zeros(0, np.int64)] * 2 + [np.zeros(0)]]
+    least, waiting, a = np.zeros(width), 0, 0
     while a < len(xn):
         # as many values as keep sums and meetings within a bounded size
         b = min(len(xn), a + rows, max(a + 1, int(np.searchsorted(ends, ends[a] + CELL, "right")) - 1))
-        i = np.arange(*np.searchsorted(owner, [a, b]))
-        m = met[i]
-        at = np.repeat(low[i] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
-        cell = np.repeat((owner[i] - a) * len(yn), m) + held[at]
-        sums = np.bincount(cell, np.minimum(np.repeat(xp[i], m), yp[at]), (b - a) * len(yn)).reshape(b - a, len(yn))
-        # rounded so that their order is that of the shares, not of the rows
-        sums = np.floor(sums * 1e9 + 0.5) / 1e9
+        i, j = begin[a], begin[b]
+        m = met[i:j]
+        at = np.arange(int(m.sum()))
+        at += np.repeat(low[i:j] - np.cumsum(m) + m, m)
+        cell = held[at]
+        cell += np.repeat(np.repeat(np.arange(b - a) * width, xn[a:b]), m)
+        sums = np.bincount(cell, np.minimum(np.repeat(xp[i:j], m), yp[at]), (b - a) * width).reshape(b - a, width)
         if same:
             sums[np.arange(b - a), np.arange(a, b)] = 0.0
-        k = len(yn) - min(n, len(yn))
-        least = np.partition(sums, k, axis=1)[:, k]
-        # what lies above the n-th best, and of what equals it the first
-        r, c = np.nonzero((sums >= least[:, None]) & (sums > 0))
-        v = sums[r, c]
-        o = np.lexsort((c, -v, r))
-        r, c, v = r[o], c[o], v[o]
-        first = np.arange(len(r)) - np.searchsorted(r, r) < n
-        out.append((r[first] + a, c[first], v[first]))
+        # all limits leave room for rounding; what is below is no candidate of either side
+        top = np.maximum.reduceat(sums, groups, axis=1)
+        k = len(groups) - n
+        limit = np.maximum(np.partition(top, k, axis=1)[:, k] - 1e-9, 0.0) if k >= 0 else np.zeros(b - a)
+        at = np.flatnonzero(sums > (limit[:, None] if same else np.minimum(limit[:, None], least)))
+        v, r = sums.ravel()[at], at // width
+        c, own = at - r * width, v > limit[r]
+        # rounded so that their order is that of the shares, not of the rows
+        v = np.floor(v * 1e9 + 0.5) / 1e9
+        mine.append(_first_of(r[own] + a, c[own], v[own], n))
+        if not same:
+            # of equal overlaps the earlier value of x was the first to be found
+            later = v > least[c]
+            theirs.append([c[later], r[later] + a, v[later]])
+            waiting += int(later.sum())
+            if waiting > HELD or b == len(xn):
+                theirs = [list(_first_of(*[np.concatenate(z) for z in zip(*theirs)], n))]
+                full, of = np.unique(theirs[0][0], return_counts=True)
+                full = full[of == n]
+                least[full] = theirs[0][2][np.searchsorted(theirs[0][0], full) + n - 1]
+                waiting = 0
         a = b
-    return tuple(np.concatenate(z) for z in zip(*out))
+    return tuple(np.concatenate(z) for z in zip(*mine)), tuple(theirs[0])
+
+
+def _best_of(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], n: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in x, place in y, overlap) of the ``n`` best of block y for each value of block x (see ``_best_of_both``)."""
+    return _best_of_both(x, y, n, same)[0]
 
 
 def nearest_values(proba: DataFrame, columns: int, n: int = 10) -> DataFrame:
     """``column, value, rank, nearest, distance``: for each value the ``n`` values of its column at the smallest distance
     (see ``value_distance``), ties to the smaller one. Values that share nothing, at distance one, are not listed.
 
-    The answer is exact. Values are packed into blocks, every two blocks of a column meet in a cell, and a cell keeps the ``n`` best of one block
-    for each value of the other: no pair of values is ever a row of a shuffle. The work is quadratic where all values share something.
+    The answer is exact. Values are packed into blocks, every two blocks of a column meet in a task of their own, and it keeps the ``n`` best of either block
+    for each value of the other: no pair of values is ever a row of a shuffle. Blocks are shuffled once, one to a partition, and every task fetches
+    its two, so the disk holds each but once. The work is quadratic where all values share something.
     """
     if columns < 2:
         raise ValueError("a distance needs at least two columns")
-    spark = proba.sparkSession
-    blocks = written(_packed(proba), "blocks")
+    blocks = _packed(proba)
     kind = blocks.schema["x"].dataType.elementType.simpleString()
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    # blocks are few and work long, so they are dealt to more tasks than their bytes ask for
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-
-    def dealt(place: str, other: str) -> GroupedData:
-        side = blocks.select("ci", F.col("block").alias(place), every.alias(other), "x", "size", "f", "p")
-        return side.repartition(tasks, "ci", "a", "b").groupBy("ci", "a", "b")
-
-    def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        i = j = np.zeros(0, np.int64)
-        low, held = np.zeros(0), (x if x.num_rows else y)
-        names = held.column("x").combine_chunks().values
-        left = right = names
-        if x.num_rows and y.num_rows:
-            sides = [[np.frombuffer(t.column(c)[0].as_py(), k) for c, k in (("size", "<i8"), ("f", "<i8"), ("p", "<f8"))] for t in (x, y)]
-            i, j, low = _best_of(*sides, n, x.column("a")[0].as_py() == x.column("b")[0].as_py())
-            left, right = (t.column("x").combine_chunks().values for t in (x, y))
-        ci = pa.array([held.column("ci")[0].as_py()] * len(i), pa.string())
-        return pa.table({"ci": ci, "x": left.take(pa.array(i)), "y": right.take(pa.array(j)), "low": pa.array(low, pa.float64())})
-
-    found = dealt("a", "b").cogroup(dealt("b", "a")).applyInArrow(best, f"ci string, x {kind}, y {kind}, low double")
+    # a row per column: where its blocks are in the order of all
+    known = blocks.groupBy("ci").agg(F.max("block").alias("last")).orderBy("ci").collect()
+    starts, total = [], 0
+    for r in known:
+        starts += [F.lit(r["ci"]), F.lit(total)]
+        total += r["last"] + 1
+    place = F.element_at(F.create_map(*starts), F.col("ci")) + F.col("block") if starts else F.lit(0)
+    # as many partitions as places, in their order: one block to each
+    side = blocks.withColumn("place", place).repartitionByRange(max(1, total), "place")
+    one, two = (side.select(*[F.col(c).alias(f"{c}{k}") for c in side.columns if c != "block"]) for k in "xy")
+    # of (a, b) and (b, a) one, so that no block is the first, or the second, of most
+    once = (F.col("placex") < F.col("placey")) == ((F.col("placex") + F.col("placey")) % 2 == 1)
+    cells = one.hint("shuffle_replicate_nl").join(two, (F.col("cix") == F.col("ciy")) & (once | (F.col("placex") == F.col("placey"))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b = batch.slice(k, 1)
+                sides = [[np.frombuffer(b.column(f"{c}{s}")[0].as_py(), t) for c, t in (("size", "<i8"), ("f", "<i8"), ("p", "<f8"))] for s in "xy"]
+                names = [b.column(f"x{s}").flatten() for s in "xy"]
+                found = _best_of_both(*sides, n, b.column("placex")[0] == b.column("placey")[0])
+                for (i, j, low), left, right in zip(found, names, names[::-1]):
+                    ci = pa.array([b.column("cix")[0].as_py()], pa.string()).take(pa.array(np.zeros(len(i), np.int64)))
+                    out = pa.RecordBatch.from_arrays([ci, left.take(pa.array(i)), right.take(pa.array(j)), pa.array(low)], ["ci", "x", "y", "low"])
+                    for at in range(0, len(i), HELD):
+                        yield out.slice(at, HELD)
+
+    found = cells.mapInArrow(best, f"ci string, x {kind}, y {kind}, low double")
     order = Window.partitionBy("ci", "x").orderBy(F.desc("low"), "y")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     distance = F.greatest(F.lit(1.0) - F.col("low") / F.lit(columns - 1), F.lit(0.0))

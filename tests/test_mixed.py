@@ -179,3 +179,38 @@ def test_best_of_a_cell_in_small_steps(monkeypatch):
         low = np.minimum(table[x], table).sum(axis=1)
         best = sorted((-v, y) for y, v in enumerate(low) if y != x and v > 0)[:3]
         assert [(-v, y) for v, y in best] == [(v, y) for i, y, v in zip(*got) if i == x]
+
+
+def test_blocks_are_shuffled_once_however_many_they_meet(spark, monkeypatch):
+    """A block is not copied for each block that it meets: the join of blocks needs no more than one exchange of them."""
+    monkeypatch.setattr(mixed, "BLOCK_VALUES", 7)
+    df = spark.createDataFrame([(f"a{i % 60}", f"b{i % 7}", f"c{i % 11}") for i in range(500)], "a string, b string, c string")
+    out = mixed.nearest_values(conditional_proba(pair_counts(df, ["a", "b", "c"])), 3, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "cogroup" not in plan.lower()
+    assert plan.count("rangepartitioning(place") == 2  # the two sides, of which the second is the first's
+
+
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_both_sides_of_a_cell(n, monkeypatch):
+    """One comparison of two blocks names the best for the values of either, in however small steps."""
+    rnd = np.random.default_rng(5)
+
+    def block(values):
+        size = rnd.integers(0, 6, values)
+        return size, np.concatenate([rnd.choice(12, k, False) for k in size]), rnd.integers(1, 4, size.sum()) / 8
+
+    x, y = block(35), block(90)
+    for cell, held in ((1 << 18, 1 << 20), (200, 30)):
+        monkeypatch.setattr(mixed, "CELL", cell)
+        monkeypatch.setattr(mixed, "HELD", held)
+        mine, theirs = mixed._best_of_both(x, y, n, False)
+        for got, one, other in ((mine, x, y), (theirs, y, x)):
+            table = []
+            for size, f, p in (one, other):
+                table.append(np.zeros((len(size), 12)))
+                table[-1][np.repeat(np.arange(len(size)), size), f] = p
+            for k, row in enumerate(table[0]):
+                low = np.minimum(row, table[1]).sum(axis=1)
+                best = sorted((-v, j) for j, v in enumerate(low) if v > 0)[:n]
+                assert [(-v, j) for v, j in best] == [(v, j) for i, j, v in zip(*got) if i == k]
