@@ -1,8 +1,10 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from colscope import session
 from colscope.constants import FOREST
 from colscope.operators import encode, ordering, relations
 from colscope.operators.encode import string_index
@@ -166,3 +168,22 @@ def test_what_occurs_in_one_fold_takes_the_mean_of_all(spark):
     assert overall == [0.5, 0.5] and {r["f"] for r in means.select("f").distinct().collect()} == {1}
     out = ordering.with_means(df, ["u", "c"], ["mu", "mc"], means, overall, [200, 4])
     assert {r["mu"] for r in out.collect()} == {0.5}
+
+
+def test_only_what_is_looked_up_is_kept_on_disk(spark, monkeypatch):
+    """Numbered rows are written in Parquet and deleted; of the categories' sums only those of several folds are written."""
+    kept, numbered = {}, []
+
+    def written(df, label):
+        out = session.written(df, label)
+        kept.setdefault(label, []).append(out.count())
+        numbered.extend(out.inputFiles() if label == "rows" else [])
+        return out
+
+    monkeypatch.setattr(ordering, "written", written)
+    rows = [(f"u{i}", f"c{i % 50}", float(i % 50 % 7)) for i in range(600)]
+    df = encode.index_by_join(spark.createDataFrame(rows, "u string, c string, y double"), ["u", "c"], "_index").drop("u", "c")
+    out = column_relations(df, df.columns, ["y"], numTrees=3).collect()
+    assert next(r for r in out if r["rank"] == 1)["feature"] == "c_index"
+    assert kept["rows"] == [600] and kept["category-sums"] == [50]
+    assert numbered and not any(os.path.exists(f.removeprefix("file:")) for f in numbered)
